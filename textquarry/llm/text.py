@@ -66,15 +66,31 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         return mix(out + np.uint64(width_used))
 
 
-def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of every run of exactly ``width`` words (any width), by rolling sums."""
-    n = len(hashes)
-    if n < width:
-        return np.zeros(0, dtype=np.uint64)
-    p = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(n, p, dtype=np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers)])
-        inverse = np.uint64(pow(int(p), -1, 1 << 64))
-        back = np.cumprod(np.full(n - width + 1, inverse, dtype=np.uint64))
-        return mix((sums[width:] - sums[: n - width + 1]) * back)
+class RunHashes:
+    """Hashes of runs of words of one text, from rolling sums over its word hashes."""
+
+    _BASE = 0x9E3779B97F4A7C15
+    _powers = np.ones(1, dtype=np.uint64)
+    _inverse = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def _reach(cls, n: int) -> None:
+        if len(cls._powers) <= n:
+            size = max(2 * len(cls._powers), n + 1)
+            with np.errstate(over="ignore"):
+                for name, base in (("_powers", cls._BASE), ("_inverse", pow(cls._BASE, -1, 1 << 64))):
+                    steps = np.full(size, base, dtype=np.uint64)
+                    steps[0] = 1
+                    setattr(cls, name, np.cumprod(steps))
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        self._reach(n)
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(mix(hashes) * self._powers[:n], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words start <= i < end, for arrays of both."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
