@@ -9,8 +9,9 @@ misses, and a candidate has to pass several of them:
 * the first order puts shingles that occur in many documents last (found on a
   hash sample of documents; it only shapes the order, so it drops nothing) and
   is used as an inverted index;
-* further orders are independent permutations, tested on each candidate pair,
-  before the exact intersection of the two sets is counted.
+* further orders are independent permutations; each document of a candidate
+  pair carries its prefixes under them, and a pair goes on to the exact count
+  only if every order lets it pass.
 
 Documents with equal sets form one class. Only classes are compared, and links
 inside a known component are not looked for. A posting list of more than
@@ -63,24 +64,47 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefix_in_order(tokens: np.ndarray, seed: int, length: int) -> np.ndarray:
-    """The ``length`` first tokens in the order of ``seed``."""
-    with np.errstate(over="ignore"):
-        keys = mix(tokens ^ _u64(seed))
-    return keys if length >= len(keys) else np.partition(keys, length - 1)[:length]
+def overlap_possible(n_a, n_b, at_a, at_b, percent: int = PERCENT):
+    """Whether sets whose first common element stands at these places can be similar enough (arrays or columns)."""
+    return ((n_a - at_a) * (100 + percent) >= percent * (n_a + n_b)) & ((n_b - at_b) * (100 + percent) >= percent * (n_a + n_b))
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """All order filters, cheapest first, then the exact count."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or 100 * len(a) < percent * len(b):
-        return False
+def sketch(tokens: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
+    """For each further order the prefix of the set, as the sorted upper halves of its keys."""
+    length = prefix_length(len(tokens), percent)
+    out = []
     for seed in ORDERS:
-        left = prefix_in_order(a, seed, prefix_length(len(a), percent))
-        right = prefix_in_order(b, seed, prefix_length(len(b), percent))
-        if not np.isin(left, right).any():
+        with np.errstate(over="ignore"):
+            keys = mix(tokens ^ _u64(seed))
+        first = keys if length >= len(keys) else np.partition(keys, length - 1)[:length]
+        out.append(np.sort((first >> np.uint64(32)).astype(np.uint32)))
+    return out
+
+
+def may_link(n_a: int, sketch_a: list[np.ndarray], n_b: int, sketch_b: list[np.ndarray], percent: int = PERCENT) -> bool:
+    """Filters of the further orders: a shared prefix element, and not too many elements known to be missing.
+
+    An element of one prefix that lies before the end of the other prefix and
+    is not in it is missing from the other set for certain.
+    """
+    if not n_a or not n_b:
+        return False
+    least = -(-percent * (n_a + n_b) // (100 + percent))
+    for x, y in zip(sketch_a, sketch_b):
+        common = len(np.intersect1d(x, y))
+        if not common:
             return False
+        end = min(x[-1], y[-1])
+        # truncated keys may repeat, so only distinct ones are counted as missing
+        if len(np.unique(x[x < end])) - common > n_a - least or len(np.unique(y[y < end])) - common > n_b - least:
+            return False
+    return True
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """The exact test on two sets."""
+    if not len(a) or not len(b):
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -134,99 +158,127 @@ def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> Data
 
 
 def _postings(signed: DataFrame, column: str) -> DataFrame:
-    """(token, key) rows of the prefixes; copies within a task give one."""
+    """(token, key, n, at) rows of the prefixes, ``at`` being the place in the set's order; copies within a task give one."""
+    skip = F.lit(0) if column == "cold" else (F.octet_length("cold") / 8).cast("long")
 
     def explode(batches):
         seen = set()
         for batch in batches:
-            tokens, keys = [], []
-            for key, blob in zip(batch.column("key").to_pylist(), batch.column(column).to_pylist()):
+            tokens, keys, sizes, places = [], [], [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "n", "skip", column)))
+            for key, n, skipped, blob in rows:
                 if not blob or key in seen:
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
                 tokens.append(np.frombuffer(blob, np.int64))
-                keys.append(np.full(len(tokens[-1]), key, np.int64))
+                count = len(tokens[-1])
+                keys.append(np.full(count, key, np.int64))
+                sizes.append(np.full(count, n, np.int32))
+                places.append(np.arange(skipped, skipped + count, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "key": np.concatenate(keys)})
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "key": np.concatenate(keys), "n": np.concatenate(sizes), "at": np.concatenate(places)})
 
-    return signed.select("key", column).mapInArrow(explode, "token long, key long")
+    return signed.select("key", "n", skip.alias("skip"), column).mapInArrow(explode, "token long, key long, n int, at int")
 
 
-def _cold_lists(postings: DataFrame) -> DataFrame:
-    """Groups the rare tokens: pairs of short lists (token null), rows of longer lists (a null)."""
-    schema = "token long, a long, b long"
+def _cold_lists(postings: DataFrame, percent: int) -> DataFrame:
+    """Groups the rare tokens: pairs of short lists (token null, key and other), rows of longer lists (other null)."""
+    schema = "token long, key long, n int, at int, other long"
 
     def group(batches):
-        tokens, keys = [], []
-        for batch in batches:
-            tokens.append(batch.column("token").to_numpy(zero_copy_only=False))
-            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-        if not tokens:
+        parts = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "key", "n", "at")] for batch in batches]
+        if not parts:
             return
-        token, key = np.concatenate(tokens), np.concatenate(keys)
+        token, key, n, at = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((key, token))
-        token, key = token[order], key[order]
+        token, key, n, at = token[order], key[order], n[order], at[order]
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key = token[fresh], key[fresh]
+        token, key, n, at = token[fresh], key[fresh], n[fresh].astype(np.int64), at[fresh].astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(token)]]))
         pairs = []
         for size in range(2, SMALL_LIST + 1):
-            at = starts[sizes == size]
+            first = starts[sizes == size]
             for i in range(size):
                 for j in range(i + 1, size):
-                    pairs.append(np.stack([key[at + i], key[at + j]], axis=1))
+                    x, y = first + i, first + j
+                    ok = overlap_possible(n[x], n[y], at[x], at[y], percent)
+                    pairs.append(np.stack([key[x[ok]], key[y[ok]]], axis=1))
         pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         if len(pairs):
-            yield pa.RecordBatch.from_pydict({"token": pa.nulls(len(pairs), pa.int64()), "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            none, none32 = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
+            yield pa.RecordBatch.from_pydict({"token": none, "key": pa.array(pairs[:, 0]), "n": none32, "at": none32, "other": pa.array(pairs[:, 1])})
         long = np.repeat(sizes > SMALL_LIST, sizes)
         if long.any():
-            n = int(long.sum())
-            yield pa.RecordBatch.from_pydict({"token": pa.array(token[long]), "a": pa.nulls(n, pa.int64()), "b": pa.array(key[long])})
+            none = pa.nulls(int(long.sum()), pa.int64())
+            yield pa.RecordBatch.from_pydict({"token": token[long], "key": key[long], "n": n[long].astype(np.int32), "at": at[long].astype(np.int32), "other": none})
 
     return postings.repartition("token").mapInArrow(group, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """key, tokens for the documents of ``ids`` (doc_id, key)."""
+def _sketches(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """key, n, sketch, text for the documents of ``ids`` (doc_id, key)."""
     if ids.count() <= ID_LIMIT:
         ids = F.broadcast(ids)
 
     def build(batches):
         hashes = WordHashes()
         for batch in batches:
-            blobs = [shingle_set(t, hashes).tobytes() for t in _binary(batch, "text")]
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "tokens": pa.array(blobs, pa.binary())})
+            sizes, blobs = [], []
+            for text in _binary(batch, "text"):
+                s = shingle_set(text, hashes)
+                sizes.append(len(s))
+                blobs.append(b"".join(x.tobytes() for x in sketch(s, percent)))
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(blobs, pa.binary()), "text": batch.column("text")})
 
     chosen = docs.select("doc_id", "text").join(ids, "doc_id").select("key", "text")
-    return chosen.mapInArrow(build, "key long, tokens binary")
+    return chosen.mapInArrow(build, "key long, n int, sketch binary, text string")
+
+
+def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) with the named columns of both sides, as a_<name> and b_<name>."""
+    for side in ("b", "a"):
+        part = sets.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        pairs = pairs.join(part, side)
+    return pairs.select("a", "b", *[f"{side}_{c}" for side in ("a", "b") for c in columns])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
+    """The pairs (a, b) that are similar enough: filters of the further orders first, then the exact count."""
+
+    def halves(blob: bytes) -> list[np.ndarray]:
+        return np.split(np.frombuffer(blob, np.uint32), len(ORDERS))
 
-    def check(batches):
+    def screen(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_n", "a_sketch", "b_n", "b_sketch")))
+            ok = [may_link(n, halves(x), m, halves(y), percent) for n, x, m, y in rows]
+            kept = batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    def verify(batches):
+        hashes = WordHashes()
         for batch in batches:
-            left, right = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
+            rows = zip(_binary(batch, "a_text"), _binary(batch, "b_text"))
+            ok = [similar(shingle_set(x, hashes), shingle_set(y, hashes), percent) for x, y in rows]
             kept = batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
             if kept.num_rows:
                 yield kept
 
-    b = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    a = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    left = _both(pairs, sets, "n", "sketch").mapInArrow(screen, "a long, b long")
+    return _both(left, sets, "text").mapInArrow(verify, "a long, b long")
 
 
 def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(signed, labels): signatures of all documents; ``node, label`` of class keys with a link to another class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(signatures(docs, frequent_shingles(docs), percent))
-    lists = scratch.keep(_cold_lists(_postings(signed, "cold")))
-    opened = lists.where("token is not null").select("token", F.col("b").alias("key"))
+    lists = scratch.keep(_cold_lists(_postings(signed, "cold"), percent))
+    opened = lists.where("token is not null").select("token", "key", "n", "at")
     opened = scratch.keep(opened.union(_postings(signed, "warm")).distinct())
-    pairs = lists.where("token is null").select("a", "b").distinct()
+    pairs = scratch.keep(lists.where("token is null").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct())
 
     sizes = opened.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     weight = opened.join(sizes, "token").groupBy("key").agg(F.sum("c").alias("weight"))
@@ -234,7 +286,7 @@ def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(opened.select("key")).distinct()
     firsts = signed.where("n > 0").join(met, "key", "left_semi").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.keep(_sets(docs, scratch.keep(firsts.where("doc_id is not null").select("doc_id", "key"))))
+    sets = scratch.keep(_sketches(docs, scratch.keep(firsts.where("doc_id is not null").select("doc_id", "key")), percent))
 
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     tested, links, rounds = None, None, 0
@@ -244,12 +296,13 @@ def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
             active = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
             named = scratch.keep(named.join(active, "token", "left_semi"))
             part = F.pmod(F.xxhash64("key", F.lit(rounds)), F.lit(4**rounds))
-            pivots = named.groupBy("token", part.alias("part")).agg(F.max(F.struct("weight", "key", "label")).alias("p"))
-            pivots = scratch.keep(pivots.select("token", F.col("p.key").alias("pivot"), F.col("p.label").alias("other")))
-            star = named.join(pivots, "token").where("label <> other")
+            pivots = named.groupBy("token", part.alias("part")).agg(F.max(F.struct("weight", "key", "label", "n", "at")).alias("p"))
+            pivots = scratch.keep(pivots.select("token", F.col("p.key").alias("pivot"), F.col("p.label").alias("other"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat")))
+            star = named.join(pivots, "token").where(F.col("label") != F.col("other"))
+            star = star.where(overlap_possible(F.col("n"), F.col("pn"), F.col("at"), F.col("pat"), percent))
             star = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
             pairs = star if pairs is None else pairs.union(star)
-            opened = named.select("token", "key", "weight").join(pivots.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti")
+            opened = named.select("token", "key", "weight", "n", "at").join(pivots.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti")
             opened = scratch.keep(opened)
         if pairs is None:
             break
