@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import likelihoods
 
