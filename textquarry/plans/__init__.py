@@ -1,9 +1,14 @@
 """Registered queries of the search engine."""
 
+from .catalogue import ORACLES, QUERIES, flagship
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]

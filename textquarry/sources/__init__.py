@@ -1,0 +1 @@
+"""Storage: versioned tables of pages, segments and merge checkpoints."""
