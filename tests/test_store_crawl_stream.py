@@ -1,0 +1,98 @@
+from pyspark.sql import functions as F
+
+from textquarry.operators import crawl
+from textquarry.operators.query import phrase
+from textquarry.sources.store import Checkpoints, Pages
+from textquarry.streaming import ingest
+
+NEW = "url string, title string, html_body string, outgoing_links array<string>, depth int, is_seed boolean"
+
+
+def test_pages(spark, tmp_path):
+    pages = Pages(spark, str(tmp_path))
+    assert pages.count() == 0 and pages.find_by_url("http://a") is None
+    pages.upsert(spark.createDataFrame([("http://a", "A", "<p>a</p>", [], 0, True), ("http://b", "B", "<p>b</p>", [], 1, False)], NEW))
+    first = pages.find_by_url("http://a")["_id"]
+    assert len(first) == 24 and pages.url_exists("http://b") and not pages.url_exists("http://c")
+    pages.mark_indexed(pages.find(F.col("url") == "http://a").select("_id"))
+    assert pages.count(F.col("indexed")) == 1
+    pages.upsert(spark.createDataFrame([("http://a", "A2", "<p>x</p>", [], 2, False), ("http://c", "C", "", [], 2, False)], NEW))
+    again = pages.find_by_url("http://a")
+    assert again["_id"] == first and again["title"] == "A2" and again["indexed"] is False and pages.count() == 3
+    assert pages.find_seeds().count() == 0 and pages.find_by_depth(2).count() == 2
+    rows, cursor = pages.list_paginated(0)
+    assert len(rows) == 1
+    rest, end = pages.list_paginated(10, cursor)
+    assert len(rest) == 2 and pages.list_paginated(10, end) == ([], None)
+    assert pages.update(F.col("url") == "http://b", {"depth": 9}) == 1 and pages.find_by_depth(9).count() == 1
+    assert pages.delete_by_url("http://b") == 1 and pages.count() == 2
+    assert len(pages.unindexed_paginated(10)[0]) == 2
+
+
+def test_checkpoints(spark, tmp_path):
+    c = Checkpoints(spark, str(tmp_path))
+    assert c.get_or_create("s1")["last_merged_bucket"] == -1 and c.get_or_create("s1")["completed"] is False
+    assert c.count() == 1 and c.progress("s1", "apple", 3) == 1 and c.find_one(F.col("collection_name") == "s1")["last_merged_term"] == "apple"
+    assert c.incomplete().count() == 1 and c.complete("s1") == 1 and c.incomplete().count() == 0 and c.delete_completed() == 1 and c.count() == 0
+
+
+SITE = {
+    "http://h/": '<title>H</title><a href="/a">a</a><a href="/b">b</a><a href="/x.pdf">x</a>',
+    "http://h/a": '<a href="/b">b</a><a href="/c">c</a>', "http://h/b": '<a href="/">h</a>', "http://h/c": '<a href="/d">d</a>',
+}
+
+
+def getter():
+    """A fetcher that carries its site, so that workers need not import this file."""
+    site = dict(SITE)
+
+    def get(url):
+        if url == "http://h/d":
+            raise crawl.NotHtml(url)
+        return site[url]
+
+    return get
+
+
+get = getter()
+
+
+def test_crawl(spark):
+    rows = crawl.crawl(spark, ["http://h/"], 3, 2, get, keep=lambda df: df.persist()).collect()
+    assert {r["url"]: (r["depth"], r["is_seed"]) for r in rows} == {"http://h/": (0, True), "http://h/a": (1, False), "http://h/b": (1, False), "http://h/c": (2, False)}
+    assert crawl.crawl(spark, ["http://h/"], 0, 2, get, keep=lambda df: df.persist()).count() == 1
+    web = spark.createDataFrame([(u, [f"http://h/{x}" for x in links]) for u, links in (("http://h/", "ab"), ("http://h/a", "bc"), ("http://h/b", ""), ("http://h/c", ""))], "url string, outgoing_links array<string>")
+    assert {r["url"]: r["depth"] for r in crawl.traverse(web, ["http://h/"], 5).collect()} == {"http://h/": 0, "http://h/a": 1, "http://h/b": 1, "http://h/c": 2}
+
+
+def test_retries():
+    calls = []
+
+    def fails(url):
+        calls.append(url)
+        raise OSError
+
+    assert crawl.fetch_retrying("http://x", fails, back_off_ms=0) == (None, "failed") and len(calls) == 4
+    assert crawl.fetch_retrying("http://h/d", get)[1] == "not_html"
+    assert crawl.fetch_retrying("http://h/x.pdf")[1] == "denied_ending"
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([("http://x/a.PNG", "é", None), ("http://x/a.png", "e", "text/html"), ("ftp://x", "", "image/png")], "url string, html string, kind string")
+    got = rows.select(crawl.fetchable(F.col("url")), crawl.followable(F.col("url")), crawl.is_html(F.col("kind")), crawl.fits(F.col("url"), F.col("html"), 15)).collect()
+    assert [tuple(r) for r in got] == [(True, False, True, False), (False, False, True, True), (True, False, False, True)]
+
+
+def test_stream(spark, tmp_path):
+    src, seg = str(tmp_path / "src"), str(tmp_path / "seg")
+    schema = "_id string, url string, html_body string"
+    shape = spark.createDataFrame([], schema).schema
+    spark.createDataFrame([("1", "u1", "<p>green apples</p>"), ("2", "u2", "<p>red apples</p>")], schema).coalesce(1).write.parquet(src)
+    ingest.index_stream(ingest.page_stream(spark, src, shape), seg, str(tmp_path / "ck")).awaitTermination()
+    spark.createDataFrame([("2", "u2", "<p>red pears</p>"), ("3", "u3", "<p>green pears</p>")], schema).coalesce(1).write.mode("append").parquet(src)
+    ingest.index_stream(ingest.page_stream(spark, src, shape), seg, str(tmp_path / "ck")).awaitTermination()
+    rows = ingest.current(spark.read.parquet(seg))
+    assert sorted(r["doc_id"] for r in phrase(rows, "apples").collect()) == ["1"]
+    assert sorted(r["doc_id"] for r in phrase(rows, "pear").collect()) == ["2", "3"]
+    ingest.compact(spark, seg, str(tmp_path / "one"))
+    assert spark.read.parquet(str(tmp_path / "one")).count() == rows.count()
