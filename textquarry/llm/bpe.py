@@ -74,8 +74,7 @@ class SegmentTree:
 class Bpe:
     """Encoder and decoder of one vocabulary file, with bounded memories of words and chunks."""
 
-    def __init__(self, path: str, memory: int = 300_000, tree: bool = True):
-        self.merger = self.merge if tree else self.merge_scan
+    def __init__(self, path: str, memory: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -126,23 +125,6 @@ class Bpe:
                 tree.put(h, found[0] | h if found else none)
         return [x for x in ids if x >= 0]
 
-    def merge_scan(self, word: bytes) -> list[int]:
-        """The same ids by scanning all pairs for each merge, which is quicker for short words."""
-        if len(word) > 24:
-            return self.merge(word)
-        ids = [self.inner[b] for b in word]
-        ids[-1] = self.final[word[-1]]
-        get = self.merges.get
-        while len(ids) > 1:
-            found = [get(a << 20 | b) for a, b in zip(ids, ids[1:])]
-            ranks = [x for x in found if x]
-            if not ranks:
-                break
-            best = min(ranks)
-            i = found.index(best)
-            ids[i : i + 2] = (best[1],)
-        return ids
-
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a normalised run without white space."""
         out: list[int] = []
@@ -152,7 +134,7 @@ class Bpe:
             if ids is None:
                 if len(words) >= self.memory:
                     words.clear()
-                ids = words[piece] = tuple(self.merger(piece.encode()))
+                ids = words[piece] = tuple(self.merge(piece.encode()))
             out += ids
         return out
 
@@ -189,20 +171,75 @@ def normal_chunks(text: str) -> list[str]:
     return text.split()
 
 
+class QuickBpe(Bpe):
+    """The same ids from the merge loop of tiktoken, for callers that only need ids.
+
+    A byte that no text holds marks the word's end. That loop merges by the
+    rank of the joined token instead of the pair; as every token of a trained
+    file has one pair, which is how the file itself cuts the token before its
+    merge, both give the same ids (a test checks it for the whole file).
+    """
+
+    END = b"\xff"
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import tiktoken
+
+        value = {c: bytes([i]) for i, c in enumerate(byte_letters())}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model["end_of_word_suffix"]
+        ranks = {}
+        for token, i in model["vocab"].items():
+            ended = token.endswith(suffix) and token != suffix
+            ranks[b"".join(value[c] for c in (token[: -len(suffix)] if ended else token)) + self.END * ended] = i
+        if sorted(ranks.values()) != list(range(len(ranks))) or any(self.merges[k][1] != len(self.inner) * 2 + (self.merges[k][0] >> 32) for k in self.merges):
+            raise ValueError("the ids of this file don't follow its merges")
+        self.quick = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+
+    def chunk(self, chunk: str) -> list[int]:
+        out: list[int] = []
+        for piece in PIECES.findall(chunk):
+            out += self.quick._encode_single_piece(piece.encode() + self.END)
+        return out
+
+
 class _Memory(dict):
-    """chunk (or special id) -> whatever ``make`` gives for its ids, for at most ``limit`` chunks."""
+    """chunk (or special id) -> whatever ``make`` gives for its ids.
 
-    def __init__(self, bpe: Bpe, make, limit: int = 300_000):
+    Holds at most twice ``limit`` chunks: when full, the newer half becomes the
+    older, from which chunks in use come back.
+    """
+
+    def __init__(self, bpe: Bpe, make, limit: int = 250_000):
         super().__init__()
-        self.bpe, self.make, self.limit = bpe, make, limit
+        self.bpe, self.make, self.limit, self.old = bpe, make, limit, {}
 
     def __missing__(self, part):
+        value = self.old.get(part)
+        if value is None:
+            value = self.make([part] if isinstance(part, int) else self.bpe.chunk(part))
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[part] = self.make([part] if isinstance(part, int) else self.bpe.chunk(part))
+        self[part] = value
         return value
 
 
+#: Memories of this worker process, which outlive a task.
+_MEMORIES: dict[tuple, _Memory] = {}
+
+
+def memory(kind: str, vocabulary: str, encoder: type[Bpe], make) -> _Memory:
+    """The process's memory of ``kind``, made at first use; ``make`` takes the encoder and ids."""
+    key = (kind, vocabulary)
+    if key not in _MEMORIES:
+        bpe = encoder(vocabulary)
+        _MEMORIES[key] = _Memory(bpe, lambda ids: make(bpe, ids))
+    return _MEMORIES[key]
+
+
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs`` (doc_id, text).
 
@@ -213,8 +250,8 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
-        bpe = Bpe(vocabulary)
-        both = _Memory(bpe, lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)))
+        both = memory("digests", vocabulary, Bpe, lambda bpe, ids: (" ".join(map(str, ids)), bpe.decode(ids)))
+        bpe = both.bpe
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, _Memory, default_vocabulary
+from .bpe import QuickBpe, default_vocabulary, memory
 from .scratch import Scratch
 
 CAPACITY = 2048
@@ -72,8 +72,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, piece: int) -> DataF
     """doc_id, start, length, ids_crc32, doc_tokens of the cuts of every document."""
 
     def cut(batches):
-        bpe = Bpe(vocabulary, tree=False)
-        packed = _Memory(bpe, lambda ids: np.array(ids, "<u4").tobytes())
+        packed = memory("bytes", vocabulary, QuickBpe, lambda bpe, ids: np.array(ids, "<u4").tobytes())
+        bpe = packed.bpe
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
