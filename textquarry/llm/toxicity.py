@@ -127,10 +127,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
     if not len(chosen):
         return chosen, np.zeros(0), bias
     x = _Rows(rows, chosen)
-    left, right = _Rows([a for a, _ in pairs], chosen), _Rows([b for _, b in pairs], chosen)
+    # only what a swap changes matters for the change of the score
+    left, right = _Rows([np.setdiff1d(a, b) for a, b in pairs], chosen), _Rows([np.setdiff1d(b, a) for a, b in pairs], chosen)
     weight = np.where(y > 0, 0.5 / p, 0.5 / (n - p))  # both classes count alike
     # one step size for each feature, from its share of the curvature
-    rate = 1.0 / (0.25 * x.back(weight * np.maximum(x.sizes, 1)) + 1e-3)
+    curvature = 0.25 * x.back(weight * np.maximum(x.sizes, 1))
+    if pairs:
+        both = 2 * COUNTERFACTUAL / len(pairs) * (left.sizes + right.sizes)
+        curvature += left.back(both) + right.back(both)
+    rate = 1.0 / (curvature + 1e-3)
     w, b, v, c, t = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen)), 0.0, 1.0
     rate_b = 1.0
     for _ in range(STEPS):
