@@ -264,6 +264,19 @@ def _piece_scores(table: DataFrame, vocabulary: str, classes: int) -> np.ndarray
     return np.log(total / total.sum(axis=0)) + math.log(1 - UNKNOWN)
 
 
+def _most_frequent(weighed: DataFrame) -> DataFrame:
+    """The words above the lowest count class that leaves at most HOT of them; nothing is sorted for it."""
+    level = F.floor(F.log2(F.col("c") + 1) * 16)
+    sizes = {r["level"]: r["count"] for r in weighed.groupBy(level.alias("level")).count().collect()}
+    cut, total = None, 0
+    for x in sorted(sizes, reverse=True):
+        total += sizes[x]
+        if total > HOT:
+            break
+        cut = x
+    return weighed.where(level >= cut) if cut is not None else weighed.where("false")
+
+
 def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text, lang).
 
@@ -326,7 +339,7 @@ def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     sums = [f"s{k}" for k in range(classes)]
     doubles = ", ".join(f"{s} double" for s in sums)
     weighed = scratch.keep(table.mapInArrow(weigh, f"word string, c long, base double, {doubles}"))
-    hot = weighed.orderBy(F.desc("c"), "word").limit(HOT).toArrow()
+    hot = _most_frequent(weighed).toArrow()
     words = hot.column("word").cast(pa.binary()).to_pylist()
     values = np.stack([hot.column(x).to_numpy() for x in ("base", *sums)], axis=1) if words else np.zeros((0, classes + 1))
     seen = hot.column("c").to_numpy() > 0
