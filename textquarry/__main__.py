@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import http.server
 import json
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,8 @@ def _crawl(spark: SparkSession, args: argparse.Namespace) -> None:
 def _index(spark: SparkSession, args: argparse.Namespace) -> None:
     pages = Pages(spark, args.base)
     todo = unindexed(pages.read()).select("_id", "html_body")
+    if args.page_fetch_limit:
+        todo = todo.orderBy("_id").limit(args.page_fetch_limit)
     path = f"{args.base}/postings"
     new = indexing.postings(todo, "_id", "html_body")
     try:
@@ -44,6 +47,35 @@ def _search(spark: SparkSession, args: argparse.Namespace) -> None:
     print(json.dumps(searching.search(Pages(spark, args.base).read(), index, args.query, strict=args.strict).collect()))
 
 
+def _serve(spark: SparkSession, args: argparse.Namespace) -> None:
+    """POST /api/search with {"query": ...}; answers are JSON, a blank query is a bad request."""
+    pages, index = Pages(spark, args.base), spark.read.parquet(f"{args.base}/postings")
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def _send(self, status: int, body: dict) -> None:
+            data = json.dumps(body).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Access-Control-Allow-Origin", "*")
+            self.send_header("Access-Control-Allow-Headers", "*")
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_OPTIONS(self):
+            self._send(200, {})
+
+        def do_POST(self):
+            if self.path != "/api/search":
+                return self._send(404, {"error": "not found"})
+            try:
+                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
+                return self._send(200, searching.search(pages.read(), index, body["query"]).collect())
+            except (ValueError, KeyError) as e:
+                return self._send(400, {"error": str(e)})
+
+    http.server.ThreadingHTTPServer((args.host, args.port), Handler).serve_forever()
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="textquarry")
     parser.add_argument("--base", default="textquarry-data", help="folder of all tables")
@@ -54,11 +86,16 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--max-concurrent-fetches", type=int, default=150)
     p.set_defaults(run=_crawl)
     p = sub.add_parser("index")
+    p.add_argument("--page-fetch-limit", type=int, default=None, help="index at most so many pages, by id (default: all)")
     p.set_defaults(run=_index)
     p = sub.add_parser("search")
     p.add_argument("query")
     p.add_argument("--strict", action="store_true")
     p.set_defaults(run=_search)
+    p = sub.add_parser("serve")
+    p.add_argument("--port", type=int, default=3000)
+    p.add_argument("--host", default="127.0.0.1")
+    p.set_defaults(run=_serve)
     args = parser.parse_args(argv)
     args.run(SparkSession.builder.appName("textquarry").getOrCreate(), args)
 
