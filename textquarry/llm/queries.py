@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,14 +76,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op5_maxscore_topk": """
-            with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) e from embeddings
-                       where vec_id is not null and embedding is not null
-                         and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-            s as (select q.vec_id query_id, c.vec_id vec_id,
-                         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) score
-                  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
-            r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
-            select query_id, rank, vec_id, score from r where rank <= 20""",
-    }
+    return dict(oracles.SQL)
