@@ -17,7 +17,7 @@ Documents with equal sets form one class. Only classes are compared, and links
 inside a known component are not looked for. A posting list of more than
 ``SMALL_LIST`` classes never gives all its pairs: in each round a few members
 (pivots) are compared with the members of other components, the found links are
-contracted, and the round repeats with four times as many pivots for the lists
+contracted, and the round repeats with PIVOTS times as many pivots for the lists
 that still hold several components. A pivot has then met every member, so the
 rounds end with exactly the components of the full link graph.
 """
@@ -38,8 +38,10 @@ from .text import WordHashes, mix, shingle_hashes
 
 WIDTH = 5
 PERCENT = 75
-#: Lists up to this many classes give all their pairs at once.
-SMALL_LIST = 4
+#: Lists up to this many classes give all their pairs that the places allow at once.
+SMALL_LIST = 16
+#: Each round compares so many times more pivots of a list than the one before.
+PIVOTS = 32
 #: One document in SAMPLE tells which shingles are frequent; HOT_COUNT of them make one so.
 SAMPLE, HOT_COUNT = 16, 6
 #: Most frequent shingles that the first order knows (8 bytes each are broadcast).
@@ -56,7 +58,8 @@ def _u64(seed: int) -> np.uint64:
 
 def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes of a text (none for a null or blank one)."""
-    return np.unique(shingle_hashes(hashes.of((text or b"").lower().split()), width))
+    found = np.sort(shingle_hashes(hashes.of((text or b"").lower().split()), width))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -74,10 +77,8 @@ def sketch(tokens: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
     length = prefix_length(len(tokens), percent)
     out = []
     for seed in ORDERS:
-        with np.errstate(over="ignore"):
-            keys = mix(tokens ^ _u64(seed))
-        first = keys if length >= len(keys) else np.partition(keys, length - 1)[:length]
-        out.append(np.sort((first >> np.uint64(32)).astype(np.uint32)))
+        keys = (mix(tokens ^ _u64(seed)) >> np.uint64(32)).astype(np.uint32)  # mix() wraps silently
+        out.append(np.sort(keys)[:length])
     return out
 
 
@@ -291,20 +292,21 @@ def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     tested, links, rounds = None, None, 0
     while True:
-        if not opened.isEmpty():
-            named = opened.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-            active = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-            named = scratch.keep(named.join(active, "token", "left_semi"))
-            part = F.pmod(F.xxhash64("key", F.lit(rounds)), F.lit(4**rounds))
+        # lists that still hold several components
+        named = opened.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        active = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        named = scratch.keep(named.join(active, "token", "left_semi"))
+        if not named.isEmpty():
+            part = F.pmod(F.xxhash64("key", F.lit(rounds)), F.lit(PIVOTS**rounds))
             pivots = named.groupBy("token", part.alias("part")).agg(F.max(F.struct("weight", "key", "label", "n", "at")).alias("p"))
             pivots = scratch.keep(pivots.select("token", F.col("p.key").alias("pivot"), F.col("p.label").alias("other"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat")))
             star = named.join(pivots, "token").where(F.col("label") != F.col("other"))
             star = star.where(overlap_possible(F.col("n"), F.col("pn"), F.col("at"), F.col("pat"), percent))
             star = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
             pairs = star if pairs is None else pairs.union(star)
-            opened = named.select("token", "key", "weight", "n", "at").join(pivots.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti")
-            opened = scratch.keep(opened)
-        if pairs is None:
+            used = pivots.select("token", F.col("pivot").alias("key"))
+            opened = named.select("token", "key", "weight", "n", "at").join(used, ["token", "key"], "left_anti")
+        elif pairs is None:
             break
         pairs = pairs.distinct()
         if tested is not None:
@@ -312,12 +314,12 @@ def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
         pairs = scratch.keep(pairs)
         found = scratch.keep(_linked(pairs, sets, percent))
         tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
         if not found.isEmpty():
+            links = found if links is None else links.union(found)
             labels = contract(links, scratch)
-        pairs, rounds = None, rounds + 1
-        if opened.isEmpty():
+        if named.isEmpty():
             break
+        pairs, rounds = None, rounds + 1
     return signed, labels
 
 
@@ -338,9 +340,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     name = F.when(F.col("label").isNull(), F.col("digest")).otherwise(F.col("label").cast("string").cast("binary"))
     named = named.withColumn("group", F.when(F.col("n") > 0, name))
     smallest = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("first"))
-    return named.join(smallest, "group", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id"))
+    return scratch.finish(named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

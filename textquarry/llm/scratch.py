@@ -41,9 +41,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes the files of a table from ``keep`` that nothing needs any more."""
-        jvm = self.spark.sparkContext._jvm
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` as the last table and removes all others, which it no longer needs."""
+        last = self.keep(df)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for i in range(1, self.n):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{i}")
+            path.getFileSystem(conf).delete(path, True)
+        return last
