@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
-SHARD, BLOCK = 2_048, 2_048
-SEED, STEP = 96, 8
+SHARD, BLOCK = 8_192, 2_048
+SEED, STEP = 1_024, 8
 
 
 def _whole(vectors: list, dims: int) -> np.ndarray:
@@ -33,44 +33,57 @@ def _whole(vectors: list, dims: int) -> np.ndarray:
     return out
 
 
-def search(query: np.ndarray, own: int, ids: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndarray, k: int = K):
-    """(places, scores) of the k best vectors of a shard, not in order; ties at the end all included.
+def _kth(values: np.ndarray, k: int) -> float:
+    return np.partition(values, len(values) - k)[len(values) - k] if len(values) >= k else -np.inf
 
-    ``postings`` is (terms, vectors); ``low`` and ``high`` are the range of each term.
+
+def search(queries: np.ndarray, owns: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K):
+    """For each query (row) the places and scores of the k best vectors of a shard; ties at the end all included.
+
+    The terms stand in one order for the block, by mean bound, so that queries
+    with equally many essential terms traverse their postings together.
     """
-    n = postings.shape[1]
-    worst = np.where(query > 0, low, high)
-    constant = float(query @ worst)
-    bounds = np.abs(query) * (high - low)
-    order = np.argsort(-bounds, kind="stable")
-    rest = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0.0]])
-    alive = np.flatnonzero(ids != own)
-    floor = -np.inf
-    if len(alive) > SEED:
-        some = query @ postings[:, alive[:SEED]] - constant
-        if len(some) >= k:
-            floor = np.partition(some, len(some) - k)[len(some) - k]
-    essential = int(np.searchsorted(-rest, -floor, side="left")) if floor > -np.inf else len(order)
-    essential = min(max(essential, 1), len(order)) if len(order) else 0
-    head = order[:essential]
-    score = query[head] @ postings[head] - float(query[head] @ worst[head])
-    at = essential
-    while True:
-        alive = alive[score[alive] + rest[at] >= floor]
-        if at >= len(order):
-            break
-        if len(alive) > k:
-            # the k best so far can't end lower than they are
-            now = score[alive]
-            floor = max(floor, np.partition(now, len(now) - k)[len(now) - k])
-        step = order[at : at + STEP]
-        score[alive] += query[step] @ postings[np.ix_(step, alive)] - float(query[step] @ worst[step])
-        at += len(step)
-    total = score[alive] + constant
-    if len(total) > k:
-        cut = np.partition(total, len(total) - k)[len(total) - k]
-        alive, total = alive[total >= cut], total[total >= cut]
-    return alive, total
+    n, dims = vectors.shape
+    low, high = vectors.min(axis=0), vectors.max(axis=0)
+    bounds = np.abs(queries) * (high - low)
+    order = np.argsort(-bounds.mean(axis=0), kind="stable")
+    vectors, queries, bounds = np.ascontiguousarray(vectors[:, order]), np.ascontiguousarray(queries[:, order]), bounds[:, order]
+    worst = queries * np.where(queries > 0, low[order], high[order])
+    rest = np.zeros((len(queries), dims + 1), queries.dtype)
+    rest[:, :dims] = np.cumsum(bounds[:, ::-1], axis=1)[:, ::-1]
+    constant = worst.sum(axis=1)
+
+    # the k-th best of a few vectors is a first floor
+    some = queries @ vectors[:SEED].T
+    some[owns[:, None] == ids[None, :SEED]] = -np.inf
+    floor = np.partition(some, max(some.shape[1] - k, 0), axis=1)[:, max(some.shape[1] - k, 0)] - constant if some.shape[1] >= k else np.full(len(queries), -np.inf)
+    under = rest < floor[:, None]
+    essential = np.where(under.any(axis=1), under.argmax(axis=1), dims)
+    essential = np.minimum(-(-np.maximum(essential, 1) // STEP) * STEP, dims)
+
+    for size in np.unique(essential):
+        rows = np.flatnonzero(essential == size)
+        step = max(1, 2_000_000 // n)
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            partial = queries[part, :size] @ vectors[:, :size].T - worst[part, :size].sum(axis=1)[:, None]
+            partial[owns[part, None] == ids[None, :]] = -np.inf
+            competitive = partial + rest[part, size][:, None] >= floor[part, None]
+            for row, scores, mask in zip(part, partial, competitive):
+                alive = np.flatnonzero(mask)
+                score = scores[alive]
+                least, at = floor[row], int(size)
+                while True:
+                    # what is still to come never lowers a score, so the k-th best so far is a floor
+                    least = max(least, _kth(score, k))
+                    going = score + rest[row, at] >= least
+                    alive, score = alive[going], score[going]
+                    if at >= dims:
+                        break
+                    end = min(at + STEP, dims)
+                    score += vectors[alive, at:end] @ queries[row, at:end] - worst[row, at:end].sum()
+                    at = end
+                yield row, alive[score > -np.inf], (score + constant[row])[score > -np.inf]
 
 
 def _packed(rows: DataFrame, size: int, name: str, dims: int) -> DataFrame:
@@ -110,14 +123,14 @@ def top_k(embeddings: DataFrame, queries: DataFrame | None = None, k: int = K) -
     def run(batches):
         for batch in batches:
             for ids, values, q_ids, q_values in zip(*(batch.column(c).to_pylist() for c in ("ids", "values", "q_ids", "q_values"))):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                postings = np.ascontiguousarray(np.frombuffer(values).reshape(len(ids), dims).T)
-                low, high = postings.min(axis=1), postings.max(axis=1)
+                ids, owns = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                vectors, asked = np.frombuffer(values).reshape(len(ids), dims), np.frombuffer(q_values).reshape(len(owns), dims)
+                if dims and 4 * dims * np.abs(vectors).max() * np.abs(asked).max() < 1 << 24:
+                    vectors, asked = vectors.astype(np.float32), asked.astype(np.float32)  # still exact
                 out = [[], [], []]
-                for own, query in zip(q_ids, np.frombuffer(q_values).reshape(len(q_ids), dims)):
-                    at, score = search(query, own, ids, postings, low, high, k)
+                for row, at, score in search(asked, owns, ids, vectors, k):
                     best = np.lexsort((ids[at], -score))[:k]
-                    out[0].append(np.full(len(best), own))
+                    out[0].append(np.full(len(best), owns[row]))
                     out[1].append(ids[at[best]])
                     out[2].append(score[best].astype(np.int64))
                 if out[0]:
