@@ -359,9 +359,8 @@ def find_seeds_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("count_exists", f"select count(*) n, count(*) filter (url like 'https%') n_https, count(*) filter (url = ({_URL})) > 0 url_exists from pages")
 def count_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    first = pages.agg(F.min("url").alias("first"))
-    rows = pages.join(F.broadcast(first), F.lit(True))  # one row
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("url").startswith("https")).alias("n_https"), (F.count_if(F.col("url") == F.col("first")) > 0).alias("url_exists"))
+    first = pages.agg(F.min("url").alias("first")).first()["first"]
+    return pages.agg(F.count("*").alias("n"), F.count_if(F.col("url").startswith("https")).alias("n_https"), (F.count_if(F.col("url") == F.lit(first)) > 0).alias("url_exists"))
 
 
 @_query("mark_indexed", "select page_id, page_id in (select page_id from pages where page_id % 5 = 0) as indexed from pages")
