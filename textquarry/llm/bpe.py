@@ -138,17 +138,16 @@ class Bpe:
             out += ids
         return out
 
-    def parts(self, text: str):
+    def parts(self, text: str) -> list[str | int]:
         """The chunks of a text in order; ids of special tokens stand as ints."""
-        if "<|" in text and (marks := list(self.special.finditer(text))):
-            at = 0
-            for m in marks:
-                yield from normal_chunks(text[at : m.start()])
-                yield self.specials[m[0]]
-                at = m.end()
-            yield from normal_chunks(text[at:])
-        else:
-            yield from normal_chunks(text)
+        if "<|" not in text or not (marks := list(self.special.finditer(text))):
+            return normal_chunks(text)
+        out: list[str | int] = []
+        at = 0
+        for m in marks:
+            out += [*normal_chunks(text[at : m.start()]), self.specials[m[0]]]
+            at = m.end()
+        return out + normal_chunks(text[at:])
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

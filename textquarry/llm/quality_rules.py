@@ -32,6 +32,8 @@ RULES = {
     "word_length": "10 * word_chars div greatest(n_words, 1)",
 }
 GRID = (10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900)
+#: Labelled ids up to this many are broadcast (8 bytes each); beyond, Spark joins by shuffling.
+ID_LIMIT = 2_000_000
 #: A good text rejected weighs as much as so many bad texts caught.
 GOOD_WEIGHT = 10
 
@@ -146,20 +148,19 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str, risk: float = RI
         F.sum(F.when(F.col("below") >= F.col("at"), F.col("good")).otherwise(0)).alias("k"),
         F.sum(F.when(F.col("below") >= F.col("at"), F.col("bad")).otherwise(0)).alias("caught"),
     )
-    strata = tests.agg(F.countDistinct("stratum").alias("strata"))
-    tests = tests.join(F.broadcast(strata), F.lit(True))  # one row
+    strata = max(tests.select("stratum").distinct().count(), 1)
     # a share over the risk already in the sample can't be certified, and its tail needn't be summed
     hopeful = F.col("k") <= F.col("n") * risk
     p = F.when(hopeful, _tail(F.col("k"), F.col("n"), risk)).otherwise(1.0)
-    certified = tests.where(p <= F.lit(delta) / (F.col("strata") * len(RULES) * len(GRID))).where("caught > 0")
+    certified = tests.where(p <= F.lit(delta / (strata * len(RULES) * len(GRID)))).where("caught > 0")
     best = F.max_by("cutoff", F.struct(F.col("caught") - GOOD_WEIGHT * F.col("k"), "cutoff"))
     gain = F.max(F.col("caught") - GOOD_WEIGHT * F.col("k"))
     return certified.groupBy("stratum", "rule").agg(best.alias("cutoff"), gain.alias("gain")).where("gain > 0").select("stratum", "rule", "cutoff")
 
 
-def _verdict(scored: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> DataFrame:
-    """``scored`` with the boolean ``__kept``."""
-    cut = cutoffs(scored, labels, stratum, risk, delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
+def _verdict(scored: DataFrame, cut: DataFrame, stratum: str) -> DataFrame:
+    """``scored`` with the boolean ``__kept``, by certified cutoffs."""
+    cut = cut.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
     key = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     joined = scored.withColumn("__stratum", key).join(cut.withColumnRenamed("stratum", "__stratum"), "__stratum", "left")
     over = [F.coalesce(F.col(f"__r.{rule}") > F.col("__cut")[rule], F.lit(False)) for rule in RULES]
@@ -179,7 +180,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
     """
     scratch = Scratch(docs.sparkSession, "quality")
     scored = scratch.keep(measures(docs.select("doc_id", "text", stratum)).drop("text"))
-    out = _verdict(scored, labels, stratum, risk, delta)
+    out = _verdict(scored, cutoffs(scored, labels, stratum, risk, delta), stratum)
     base = [F.col(f"__q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return out.select("doc_id", *base, F.col("__kept").alias("kept"))
 
@@ -187,6 +188,10 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that all rules keep, with all their columns."""
     scratch = Scratch(docs.sparkSession, "quality")
-    scored = scratch.keep(measures(docs))
-    out = _verdict(scored, labels, stratum, risk, delta).where("__kept")
+    ids = labels.where("quality is not null").select("doc_id").distinct()
+    if ids.count() <= ID_LIMIT:
+        ids = F.broadcast(ids)
+    held = scratch.keep(measures(docs.select("doc_id", "text", stratum).join(ids, "doc_id", "left_semi")).drop("text"))
+    cut = scratch.finish(cutoffs(held, labels, stratum, risk, delta))
+    out = _verdict(measures(docs), cut, stratum).where("__kept")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
