@@ -6,6 +6,8 @@ and counts are 64-bit integers, so that both engines return the same columns.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from ..functions.analysis import STOP_WORDS, UNSTEMMED, Analyzer
 from ..functions.html import DENIED, outgoing_links, page_text
 from ..operators import crawl, index, query, search
 from ..sources import store
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +76,10 @@ def _with(ctes: str, body: str) -> str:
     return f"with {ctes} {body}"
 
 
+_WORDS = ["thanedble", "anea", "eriner"]
+_IN = ", ".join(f"'{w}'" for w in _WORDS)
+
+
 # --- analysis ---------------------------------------------------------------------------------------------------------
 
 
@@ -180,12 +187,32 @@ def reindex_replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv(index.replace(_postings(spark, sf_dir), index.postings(again, "doc_id", "text", UNSTEMMED)))
 
 
-# --- queries ----------------------------------------------------------------------------------------------------------
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share, or a local one where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/textquarry-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
 
-_WORDS = ["thanedble", "anea", "eriner"]
-_IN = ", ".join(f"'{w}'" for w in _WORDS)
+
+@_query("stream_index", _with(_POST, "select * from post"))
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same postings from a stream that writes segments."""
+    path, folder = f"{sf_dir}/documents.parquet", _folder(spark)
+    # a pattern, since a stream takes no single file as its path
+    docs = ingest.page_stream(spark, f"{sf_dir}/documents.parque[t]", spark.read.parquet(path).schema).select("doc_id", "text")
+    ingest.index_stream(docs, f"{folder}/segments", f"{folder}/progress", "doc_id", "text", "doc_id", UNSTEMMED).awaitTermination()
+    return _csv(ingest.current(spark.read.parquet(f"{folder}/segments")))
 
 
+@_query("stored_lookup", _with(_POST, f"select * from post where term in ({_IN})"))
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few terms from postings stored by a hash of the term."""
+    folder = _folder(spark)
+    index.write(_postings(spark, sf_dir), f"{folder}/postings", parts=16)
+    return _csv(index.lookup(spark.read.parquet(f"{folder}/postings"), _WORDS, parts=16))
+
+
+# --- queries ----------------------------------------------------------------------------------------------------------
+
 @_query("lookup_terms", _with(_POST, f"select * from post where term in ({_IN})"))
 def lookup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv(index.lookup(_postings(spark, sf_dir), _WORDS))
@@ -439,6 +466,21 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", page_text("html")["body"].alias("body"))
 
 
+_SILENT = ["<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<title[^>]*>.*?</title>", "<h1[^>]*>.*?</h1>", "<a [^>]*>.*?</a>", "<!--.*?-->", "<[^>]*>"]
+_PLAIN = "html"
+for _tag in _SILENT:
+    _PLAIN = f"regexp_replace({_PLAIN}, '(?s){_tag}', ' ', 'g')"
+for _sign, _code in (("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#x27;", 39), ("&copy;", 169), ("&middot;", 183), ("&amp;", 38)):
+    _PLAIN = f"replace({_PLAIN}, '{_sign}', chr({_code}))"
+
+
+@_query("html_words", rf"select page_id, trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g')) as words from pages")
+def html_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searchable words of pages; the SQL knows the markup of the test pages only."""
+    words = analysis.whitespace_tokens(page_text("html")["body"])
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(words, " ").alias("words"))
+
+
 @_query("html_struct")
 def html_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").withColumn("p", page_text("html"))
