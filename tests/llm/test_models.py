@@ -93,15 +93,12 @@ def test_lattice_equals_enumeration():
 
     def total(word):
         word = "▁" + word
-        best = [np.zeros(2)] + [None] * len(word)
         sums = [np.ones(2)] + [np.zeros(2) for _ in word]
         for end in range(1, len(word) + 1):
             for start in range(end):
                 if word[start:end] in table:
                     sums[end] = sums[end] + sums[start] * np.exp(table[word[start:end]])
-            c = word[end - 1]
-            sums[end] = sums[end] + sums[end - 1] * lm_score.UNKNOWN * 256.0 ** -len(c.encode())
-        del best
+            sums[end] = sums[end] + sums[end - 1] * lm_score.UNKNOWN * 256.0 ** -len(word[end - 1].encode())
         return np.log(sums[-1])
 
     words = ["a", "ab", "abab", "bbb", "é", "zé", "日本", "", "ababababab" * 4]
