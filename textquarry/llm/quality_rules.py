@@ -167,7 +167,8 @@ def _verdict(scored: DataFrame, cut: DataFrame, stratum: str) -> DataFrame:
     rejected = over[0]
     for x in over[1:]:
         rejected = rejected | x
-    return joined.withColumn("__kept", ~F.col("__q.base_failed") & ~rejected)
+    # one expression over both sides, so that no part of it moves below the join, where it would compute the measures again
+    return joined.withColumn("__kept", F.when(F.col("__q.base_failed"), False).otherwise(~rejected))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
