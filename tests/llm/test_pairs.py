@@ -109,6 +109,13 @@ def test_order_filters_lose_nothing():
             assert jaccard_join.may_link(len(a), jaccard_join.sketch(a), len(b), jaccard_join.sketch(b))
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, "z " + a), (None, "q " + b)]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.components(frame(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (None, None)}
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words than those before it"), (None, None)]
     kept = jaccard_join.keep_one(frame(spark, rows))

@@ -62,6 +62,14 @@ def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> n
     return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
+def set_digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def class_key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """First elements that hold a common one for every set that is similar enough."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -139,14 +147,14 @@ def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> Data
             digests, keys, sizes, cold, warm = [], [], [], [], []
             for text in _binary(batch, "text"):
                 s = shingle_set(text, hashes)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                digest = set_digest(s)
                 at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
                 known = hot[at] == s if len(hot) else np.zeros(len(s), bool)
                 length = prefix_length(len(s), percent)
                 first = s[~known][:length]
                 rest = s[known][: length - len(first)]
                 digests.append(digest)
-                keys.append(int.from_bytes(digest[:8], "little", signed=True))
+                keys.append(class_key(digest))
                 sizes.append(len(s))
                 cold.append(first.tobytes())
                 warm.append(rest.tobytes())
@@ -226,12 +234,14 @@ def _sketches(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     def build(batches):
         hashes = WordHashes()
         for batch in batches:
-            sizes, blobs = [], []
-            for text in _binary(batch, "text"):
+            sizes, blobs, same = [], [], []
+            for key, text in zip(batch.column("key").to_pylist(), _binary(batch, "text")):
                 s = shingle_set(text, hashes)
                 sizes.append(len(s))
                 blobs.append(b"".join(x.tobytes() for x in sketch(s, percent)))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(blobs, pa.binary()), "text": batch.column("text")})
+                same.append(class_key(set_digest(s)) == key)  # another row may have the same id
+            out = pa.RecordBatch.from_pydict({"key": batch.column("key"), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(blobs, pa.binary()), "text": batch.column("text")})
+            yield out.filter(pa.array(same, pa.bool_()))
 
     chosen = docs.select("doc_id", "text").join(ids, "doc_id").select("key", "text")
     return chosen.mapInArrow(build, "key long, n int, sketch binary, text string")
@@ -327,10 +337,11 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (columns doc_id, text).
 
     Null, empty and blank texts have no shingles and are linked with nothing.
-    Repeated rows give repeated rows. Rows with a null id are linked like any
-    other, but never name a component: their ``component_id`` is null when all
-    rows of it have null ids. Extra columns are ignored. An empty table gives
-    an empty result.
+    Repeated rows give repeated rows; rows that share an id but not the text
+    are sets of their own under that id. A row with a null id belongs to the
+    component of the rows with the same shingles, links nothing by itself, and
+    has a null ``component_id`` where no such row has an id. Extra columns are
+    ignored. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed, labels = class_components(docs, scratch, percent)
