@@ -109,7 +109,8 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     """doc_id, ranges: word ranges [lo, hi) of windows that a smaller document has too (they may overlap)."""
     spans = scratch.keep(_spans(docs, length))
     shared = spans.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("span").alias("s0"), F.max("span").alias("s1"))
-    shared = shared.where("d0 <> d1").select("seed", (F.col("s0") != F.col("s1")).alias("differ"))
+    # written, so that the join below exchanges both sides itself and adaptive execution may split a hot seed
+    shared = scratch.keep(shared.where("d0 <> d1").select("seed", (F.col("s0") != F.col("s1")).alias("differ")))
     held = scratch.keep(spans.join(shared, "seed"))
     owners = held.groupBy("seed", "span").agg(F.min("doc_id").alias("first"))
     owned = scratch.keep(held.join(owners, ["seed", "span"]))
@@ -118,7 +119,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     windows = scratch.keep(_windows(docs, chosen, length))
     smallest = windows.groupBy("seed", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     single = windows.join(smallest, ["seed", "run"]).where("doc_id > first").select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return scratch.finish(whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
 
 
 def _kept(words: list[bytes], ranges: list[dict] | None) -> np.ndarray:
