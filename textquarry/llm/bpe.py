@@ -60,21 +60,23 @@ class SegmentTree:
     def put(self, i: int, key: int) -> None:
         tree = self.tree
         i += self.size
+        if tree[i] == key:
+            return
         tree[i] = key
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            key = a if a < b else b
+        while i > 1:
+            other = tree[i ^ 1]
+            if other < key:
+                key = other
+            i >>= 1
             if tree[i] == key:
-                break
+                return
             tree[i] = key
-            i >>= 1
 
 
 class Bpe:
     """Encoder and decoder of one vocabulary file, with bounded memories of words and chunks."""
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -91,38 +93,38 @@ class Bpe:
             self.merges[vocab[a] << 20 | vocab[b]] = (rank << 32, vocab[a + b])
         self.memory = memory
         self.words: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word by repeated leftmost lowest-rank merges."""
         ids = [self.inner[b] for b in word]
         ids[-1] = self.final[word[-1]]
-        n, merges, none = len(ids), self.merges, SegmentTree.NONE
-        if n == 1:
+        n, get, none = len(ids), self.merges.get, SegmentTree.NONE
+        found = [get(a << 20 | b) for a, b in zip(ids, ids[1:])]
+        if not any(found):
             return ids
-        keys = []
-        for i in range(n - 1):
-            found = merges.get(ids[i] << 20 | ids[i + 1])
-            keys.append(found[0] | i if found else none)
-        tree = SegmentTree(keys)
+        tree = SegmentTree([f[0] | i if f else none for i, f in enumerate(found)])
+        nodes, put = tree.tree, tree.put
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (best := tree.tree[1]) < none:
+        while (best := nodes[1]) < none:
             i = best & 0xFFFFFFFF
             j = after[i]
-            ids[i] = merges[ids[i] << 20 | ids[j]][1]
+            merged = ids[i] = found[i][1]
             ids[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.put(j, none)
             if k < n:
                 before[k] = i
-                found = merges.get(ids[i] << 20 | ids[k])
-                tree.put(i, found[0] | i if found else none)
+                f = found[i] = get(merged << 20 | ids[k])
+                put(j, none)
+                put(i, f[0] | i if f else none)
             else:
-                tree.put(i, none)
+                put(i, none)
             h = before[i]
             if h >= 0:
-                found = merges.get(ids[h] << 20 | ids[i])
-                tree.put(h, found[0] | h if found else none)
+                f = found[h]
+                g = found[h] = get(ids[h] << 20 | merged)
+                if f or g:
+                    put(h, g[0] | h if g else none)
         return [x for x in ids if x >= 0]
 
     def chunk(self, chunk: str) -> list[int]:
@@ -132,9 +134,11 @@ class Bpe:
         for piece in PIECES.findall(chunk):
             ids = words.get(piece)
             if ids is None:
+                ids = self.old.get(piece) or tuple(self.merge(piece.encode()))
                 if len(words) >= self.memory:
+                    self.old = dict(words)
                     words.clear()
-                ids = words[piece] = tuple(self.merge(piece.encode()))
+                words[piece] = ids
             out += ids
         return out
 
@@ -230,12 +234,12 @@ class _Memory(dict):
 _MEMORIES: dict[tuple, _Memory] = {}
 
 
-def memory(kind: str, vocabulary: str, encoder: type[Bpe], make) -> _Memory:
+def memory(kind: str, vocabulary: str, encoder: type[Bpe], make, limit: int = 250_000) -> _Memory:
     """The process's memory of ``kind``, made at first use; ``make`` takes the encoder and ids."""
     key = (kind, vocabulary)
     if key not in _MEMORIES:
         bpe = encoder(vocabulary)
-        _MEMORIES[key] = _Memory(bpe, lambda ids: make(bpe, ids))
+        _MEMORIES[key] = _Memory(bpe, lambda ids: make(bpe, ids), limit)
     return _MEMORIES[key]
 
 
