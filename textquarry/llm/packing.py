@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, piece: int) -> DataF
     """doc_id, start, length, ids_crc32, doc_tokens of the cuts of every document."""
 
     def cut(batches):
-        packed = memory("bytes", vocabulary, QuickBpe, lambda bpe, ids: np.array(ids, "<u4").tobytes())
+        packed = memory("bytes", vocabulary, QuickBpe, lambda bpe, ids: np.array(ids, "<u4").tobytes(), limit=450_000)
         bpe = packed.bpe
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
