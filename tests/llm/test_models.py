@@ -229,6 +229,35 @@ def test_quality_cutoffs(spark):
     assert tail["t"] == pytest.approx(binomial_cdf(7, 900, 0.01)) and tail["z"] == pytest.approx(0.99**10)
 
 
+@pytest.mark.parametrize("n", [900, 100_000, 4_000_000])
+def test_quality_tail_at_any_size(spark, n):
+    ks = sorted({1, 7, 15, 16, 17, n // 200, n // 100 - 2 * math.isqrt(n // 100), n // 100} & set(range(n // 100 + 1)))
+    frame = spark.createDataFrame([(k, n) for k in ks], "k long, n long")
+    got = {x["k"]: x["t"] for x in frame.select("k", quality_rules._tail(F.col("k"), F.col("n"), 0.01).alias("t")).collect()}
+    for k in ks:
+        # P(X <= k) with the terms as whole numbers: term(k) = C * 99^(n-k) / 100^n, terms below as exact fractions of it in 400 bits
+        one = 1 << 400
+        share = total = one
+        for i in range(k, 0, -1):
+            share = share * i * 99 // (n - i + 1)
+            total += share
+            if not share:
+                break
+        log_term = sum(math.log(n - i) for i in range(k)) if k < 100 else math.lgamma(n + 1) - math.lgamma(n - k + 1)
+        log_term += k * math.log(0.01) + (n - k) * math.log1p(-0.01) - math.lgamma(k + 1)
+        expected = math.exp(log_term + math.log(total / one))
+        assert got[k] == pytest.approx(expected, rel=1e-6, abs=1e-300)
+    assert got[n // 100] > 0.4  # a share at the risk itself is never certified
+
+
+def test_quality_cutoffs_of_a_large_stratum(spark):
+    """100,000 good labels with exactly 1% above every cutoff of one rule, and 20,000 bad ones to catch: no confidence, so no cutoff."""
+    q, score = "struct(false as base_failed) as __q", "case when id < 1000 or id >= 100000 then 1000 else 0 end"
+    scored = spark.range(120_000).selectExpr("id as doc_id", "'en' as lang", q, f"struct({', '.join(f'{score if r == 'symbols' else 0} as {r}' for r in quality_rules.RULES)}) as __r")
+    labels = spark.range(120_000).selectExpr("id as doc_id", "cast(id < 100000 as int) as quality")
+    assert quality_rules.cutoffs(scored, labels, "lang").collect() == []
+
+
 def test_quality_is_native(spark):
     docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
     plan = quality_rules.keep_good(docs, labels)._jdf.queryExecution().executedPlan().toString()

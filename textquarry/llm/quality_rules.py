@@ -15,6 +15,8 @@ Everything is DataFrame and SQL functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,23 +107,44 @@ def measures(rows: DataFrame, text: str = "text") -> DataFrame:
     return m.withColumn("__r", F.struct(*[c.alias(n) for n, c in scores.items()]))
 
 
-def _tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), by the recursion of its terms."""
-    first = F.exp(n * F.lit(_log1m(p)))
-    steps = F.sequence(F.lit(1).cast("long"), k)
-    start = F.struct(first.alias("term"), first.alias("sum"))
+def _stirling_rest(n: Column) -> Column:
+    """log n! less Stirling's formula, for whole n from 1: a table below 16, then the series (error under 1e-14)."""
+    small = [0.0] + [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)]
+    inverse = 1 / (n * n)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - inverse / 1680) * inverse) * inverse) / n
+    return F.when(n < 16, F.get(F.array(*[F.lit(x) for x in small]), n.cast("int"))).otherwise(series)
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) + mean - x without cancellation near the mean."""
+    d = (x - mean) / mean
+    return mean * ((1 + d) * F.log1p(d) - d)
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i * F.lit(p / (1 - p))
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    return F.when(k < 1, first).otherwise(F.aggregate(steps, start, step, lambda acc: acc["sum"]))
+def _log_term(k: Column, n: Column, p: float) -> Column:
+    """log P(X = k) for X ~ Binomial(n, p) and 0 < k < n, by its saddle point."""
+    rest = n - k
+    logs = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(rest) - _deviance(k, n * F.lit(p)) - _deviance(rest, n * F.lit(1 - p))
+    return logs + 0.5 * F.log(n / (k * rest * F.lit(2 * math.pi)))
 
 
-def _log1m(p: float) -> float:
-    import math
+def _tail(k: Column, n: Column, p: float) -> Column:
+    """P(X <= k) for X ~ Binomial(n, p) and k <= n p, at any n.
+
+    The term of k comes from its logarithm; the terms below it follow as shares
+    of it. For k <= n p the share of term k - i is under exp(-i (i - 1) / 2 k),
+    so the terms more than 12 sqrt(k) + 2 below k add nothing to a double.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    below = F.sequence(F.lit(1).cast("long"), F.least(k, F.ceil(12 * F.sqrt(k)) + 2).cast("long"))
+    start = F.struct(F.lit(1.0).alias("share"), F.lit(1.0).alias("sum"))
+
+    def step(acc: Column, i: Column) -> Column:
+        share = acc["share"] * (k - i + 1) / (n - k + i) * F.lit((1 - p) / p)
+        return F.struct(share.alias("share"), (acc["sum"] + share).alias("sum"))
 
-    return math.log1p(-p)
+    shares = F.aggregate(below, start, step, lambda acc: acc["sum"])
+    return F.when(k < 1, F.exp(n * F.lit(math.log1p(-p)))).otherwise(F.exp(_log_term(k, n, p) + F.log(shares)))
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
