@@ -109,6 +109,32 @@ def test_lattice_equals_enumeration():
     assert lattice._long(points, lm_score._with_never(scores)) == pytest.approx(lattice.forward(points, lattice.edges(points), lm_score._with_never(scores))[:, -1])
 
 
+def test_long_words_teach_their_pieces(spark, monkeypatch):
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "é", "▁ab", "日本", "本", "ab" * 8]
+    scores = lm_score._with_never(np.log(np.random.default_rng(4).dirichlet(np.ones(len(pieces)))[:, None]))
+    lattice, r = lm_score.Lattice(pieces), random.Random(3)
+    for word, step in [("a", 4096), ("ab", 1), ("ab" * 300, 64), ("".join(r.choices("abé日本z", k=5000)), 4096), ("ab" * 40, 7), ("日本" * 8, 16)]:
+        points = lm_score._points(lm_score.START + word)
+        _, piece, uses = lattice.expect(points[None], scores)
+        want = np.bincount(piece, weights=uses, minlength=len(pieces))
+        assert lattice.expect_long(points, scores[:, 0], step) == pytest.approx(want, rel=1e-7, abs=1e-12)
+
+    # a word of several thousand characters counts in its own class like any other
+    long = "".join(r.choices("abé日本", k=6000))
+    monkeypatch.setattr(lm_score, "read_pieces", lambda _: (pieces, scores[:-1, 0]))
+    table = spark.createDataFrame([(long, 1, 0), ("abba", 0, 2)], "word string, c0 long, c1 long").coalesce(1).toArrow().to_batches()
+
+    class Local:
+        def mapInArrow(self, f, schema):
+            return spark.createDataFrame(f(iter(table)).__next__().to_pandas(), schema)
+
+    got = np.exp(lm_score._piece_scores(Local(), "", 2))
+    for k, word in enumerate([long, "abba"]):
+        _, piece, uses = lattice.expect(lm_score._points(lm_score.START + word)[None], scores)
+        want = 0.01 + np.bincount(piece, weights=uses, minlength=len(pieces))
+        assert got[:, k] == pytest.approx(want / want.sum() * (1 - lm_score.UNKNOWN), rel=1e-6)
+
+
 def test_lm_counts_and_base(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HOT", 3)  # most words go through the join
     r = random.Random(9)

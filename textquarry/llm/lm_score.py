@@ -148,6 +148,58 @@ class Lattice:
             uses.append(p)
         return np.concatenate(words), np.concatenate(names), np.concatenate(uses)
 
+    def expect_long(self, points: np.ndarray, flat: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Expected uses of every piece in one very long word, in steps of ``step`` starts with carried sums.
+
+        The edges of one step are held at a time; over all places only the forward sums.
+        """
+        length, spell = len(points), self.spelled(points)
+        alpha, uses = np.zeros(length + 1), np.zeros(len(self.pieces))
+
+        def step_edges(begin: int):
+            """(start, length, piece) of the edges that start in a step, by start."""
+            size = min(step, length - begin)
+            found = self.edges(points[None, begin : begin + size + LONGEST - 1])
+            at = [np.flatnonzero(f[0, :size] >= 0) for f in found]
+            starts = np.concatenate(at)
+            sizes = np.repeat(np.arange(1, len(found) + 1), [len(x) for x in at])
+            names = np.concatenate([f[0, x] for f, x in zip(found, at)])
+            order = np.argsort(starts, kind="stable")
+            return size, starts[order], sizes[order], names[order]
+
+        def log_sum(terms: list[float]) -> float:
+            top = max(terms)
+            return top + math.log(sum([math.exp(t - top) for t in terms]))
+
+        # terms of the places from the current one on, as a ring
+        ring: list[list[float]] = [[] for _ in range(LONGEST + 1)]
+        ring[0].append(0.0)
+        for begin in range(0, length, step):
+            size, starts, sizes, names = step_edges(begin)
+            bounds, ks, logs = np.searchsorted(starts, np.arange(size + 1)).tolist(), sizes.tolist(), flat[names].tolist()
+            spelled = spell[begin : begin + size].tolist()
+            for i in range(size):
+                place = begin + i
+                here = ring[place % (LONGEST + 1)]
+                a = alpha[place] = log_sum(here)
+                here.clear()
+                ring[(place + 1) % (LONGEST + 1)].append(a + spelled[i])
+                for e in range(bounds[i], bounds[i + 1]):
+                    ring[(place + ks[e]) % (LONGEST + 1)].append(a + logs[e])
+        total = log_sum(ring[length % (LONGEST + 1)])
+        after = [0.0]  # backward sums of the places behind the current step
+        for begin in range((length - 1) // step * step, -1, -step):
+            size, starts, sizes, names = step_edges(begin)
+            bounds, ks, logs = np.searchsorted(starts, np.arange(size + 1)).tolist(), sizes.tolist(), flat[names].tolist()
+            spelled = spell[begin : begin + size].tolist()
+            beta = [0.0] * size + after
+            for i in range(size - 1, -1, -1):
+                beta[i] = log_sum([beta[i + 1] + spelled[i], *[beta[i + ks[e]] + logs[e] for e in range(bounds[i], bounds[i + 1])]])
+            p = np.exp(alpha[begin + starts] + flat[names] + np.array(beta)[starts + sizes] - total)
+            uses += np.bincount(names, weights=p, minlength=len(self.pieces))
+            after = beta[:LONGEST]
+        return uses
+
     def groups(self, words: list[str], most: int = 2048):
         """(indexes, code points as rows) of words of equal length, in blocks of bounded size."""
         points = [_points(START + w) for w in words]
@@ -249,8 +301,10 @@ def _piece_scores(table: DataFrame, vocabulary: str, classes: int) -> np.ndarray
             words = batch.column("word").to_pylist()
             inside = np.stack([batch.column(n).to_numpy(zero_copy_only=False) > 0 for n in names], axis=1).astype(float)
             for at, points in lattice.groups(words):
-                if points.shape[1] > 512:
-                    continue  # no word of a language; it would only teach single characters
+                if points.shape[1] > 512:  # a whole sentence or more, in scripts without spaces: in steps, so that no table over all places is held
+                    for j, word in zip(at, points):
+                        total += np.outer(lattice.expect_long(word, scores[:, 0]), inside[j])
+                    continue
                 row, piece, uses = lattice.expect(points, scores)
                 for k in range(classes):
                     total[:, k] += np.bincount(piece, weights=uses * inside[at[row], k], minlength=len(pieces))
