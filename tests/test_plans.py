@@ -35,3 +35,25 @@ def test_lookup_of_few_columns(spark):
     """A search reads only the columns it needs."""
     plan = plans.queries()["term_df"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_batch_passages_equal_brute_force(spark, tmp_path):
+    """Every term of a passage is a slot: a text with only its first two words is no match."""
+    passage = "amber birch cedar dunes ember fjord"
+    texts = [passage, "amber birch other words", "zinc " + passage + " amber", "ember fjord dunes cedar birch amber", "amber birch cedar dunes ember", "amber xenon yacht zonal birch xenon yacht zonal cedar dunes ember fjord", ""]
+    items = [(1, passage), (2, "birch"), (3, "cedar dunes cedar"), (4, "amber missing"), (5, "")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = {t: sum(t in x.split() for x in texts) for t in " ".join(texts).split()}
+    want = set()
+    for item, text in items:
+        terms = text.split()
+        if not terms or any(t not in df for t in terms):
+            continue
+        pivot = min(range(len(terms)), key=lambda i: (df[terms[i]], i))
+        for doc, words in ((d, x.split()) for d, x in enumerate(texts)):
+            near = lambda p, i: any(words[x] == terms[i] and 0 < abs(x - p) <= abs(i - pivot) for x in range(len(words)))
+            if any(words[p] == terms[pivot] and all(i == pivot or near(p, i) for i in range(len(terms))) for p in range(len(words))):
+                want.add((item, doc))
+    got = [tuple(r) for r in plans.queries()["batch_passages"](spark, str(tmp_path)).select("query_id", "doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (1, 0) in want and (1, 1) not in want

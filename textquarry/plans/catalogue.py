@@ -304,6 +304,13 @@ def batch_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.batch(_postings(spark, sf_dir), _slots(spark, sf_dir))
 
 
+@_query("batch_passages")
+def batch_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark passages as queries: every surviving term is a slot."""
+    terms = analysis.tokens(table(spark, sf_dir, "benchmark"), "item_id", "text", UNSTEMMED)
+    return query.batch(_postings(spark, sf_dir), terms.select(F.col("doc_id").alias("query_id"), F.col("pos").alias("slot"), "term"))
+
+
 # --- results ----------------------------------------------------------------------------------------------------------
 
 _SNIPPET = "case when strlen({0}) > 200 then left({0}, 200) || '...' else {0} end"
