@@ -338,3 +338,10 @@ def test_language_id_edges(spark):
     assert by[100] == by[101] == by[102] == "und" and by[1] == "en" and by[2] == "fr"
     assert all(r["lang_pred"] == "und" for r in language_id.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect())
     assert language_id.identified(docs.limit(0)).count() == 0
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 2)  # a uniform share would expect 0.02 rows of the rare language
+    rows = [(i, "le chat et le chien" if i % 100 == 7 else "the cat and dog", "fr" if i % 100 == 7 else "en") for i in range(4000)]
+    got = language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {(r["lang"], r["lang_pred"]) for r in got.join(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id").select("lang", "lang_pred").distinct().collect()} == {("en", "en"), ("fr", "fr")}

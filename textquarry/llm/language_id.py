@@ -4,8 +4,9 @@ A text is the TF-IDF vector of its letter n-grams (one to three code points,
 other signs count as one space), hashed to ``BUCKETS`` places and scaled to
 length one. Document frequencies are counted over all training documents; the
 weights are fitted by follow-the-regularised-leader with elastic-net penalties
-on a hash sample of at most ``SAMPLE`` of them, a fifth of which is kept back
-to fit the temperature that calibrates the scores.
+on a hash sample of about ``SAMPLE`` of them, in which every language has about
+``QUOTA`` rows at least, or all where it has fewer; a fifth of the sample is kept
+back to fit the temperature that calibrates the scores.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .text import fold
 
 BUCKETS = 1 << 15
 SAMPLE = 5_000
+#: Training rows of a language that the sample holds at least (about), however rare the language is.
+QUOTA = 200
 HELD_OUT = (4, 2)
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
@@ -141,6 +144,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)
     share = SAMPLE / max(sum(counts.values()), 1)
+    rare = {lang: QUOTA / n for lang, n in counts.items() if QUOTA / n > share}
+    shares = F.lit(share)
+    if rare:
+        shares = F.coalesce(F.create_map(*[F.lit(x) for item in rare.items() for x in item])[F.col("lang")], shares)
     place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
 
     def vectors(batches):
@@ -152,7 +159,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
                 count.append(c.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "at": pa.array(at, pa.binary()), "count": pa.array(count, pa.binary())})
 
-    table = known.where(place < share).select("lang", "text").mapInArrow(vectors, "lang string, at binary, count binary").toArrow()
+    table = known.where(place < shares).select("lang", "text").mapInArrow(vectors, "lang string, at binary, count binary").toArrow()
     rows, labels = [], []
     for lang, at, count in zip(*(table.column(c).to_pylist() for c in ("lang", "at", "count"))):
         a = np.frombuffer(at, np.uint16).astype(np.int64)
