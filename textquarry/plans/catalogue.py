@@ -364,6 +364,15 @@ def upsert_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upserted(old, new, row_id="page_id", order="page_id")
 
 
+@_query("upsert_all_by_url", "select min(page_id) page_id, url, cast(1 as int) depth from pages group by url union all select min(page_id) + 1000000, url || '?new', cast(1 as int) from pages group by url")
+def upsert_all_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against all pages with changed fields, and as many with new addresses."""
+    pages = table(spark, sf_dir, "pages")
+    again = pages.select((F.col("page_id") + 1_000_000).alias("page_id"), "url", F.lit(1).alias("depth"))
+    new = again.unionByName(again.withColumn("url", F.concat("url", F.lit("?new"))))
+    return store.upserted(pages.select("page_id", "url", F.lit(0).alias("depth")), new, row_id="page_id", order="page_id")
+
+
 @_query("latest_by_key", "select event_type, user_id, max(event_id) event_id from events group by all")
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("key", F.struct("event_type", "user_id"))
