@@ -65,6 +65,14 @@ def test_extraction_of_a_page(model):
     assert hx.text_of("<div>" * 3000 + "deep" + "</div>" * 3000, model) in ("deep", "")
 
 
+def test_formulas_and_fallbacks_stay_in_their_paragraph(model):
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mn>42</mn></mrow><annotation encoding=tex>E=42 tex</annotation></semantics></math>"
+    rest = " and a good many further words of plain prose follow here so that the paragraph is long enough"
+    page = f"<body><article><p>The energy {formula} is known, <object data=x><param name=y>a fallback</object> too{rest}.</p><p>Second{rest}.</p></article></body>"
+    text = hx.text_of(page, model)
+    assert text == f"The energy E=42 is known, a fallback too{rest}. Second{rest}."
+
+
 def test_extracted(spark, model):
     rows = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 0), (3, "v", "", 1)], "page_id long, url string, html string, text int")
     got = hx.extracted(rows, model).collect()

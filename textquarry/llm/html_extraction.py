@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Kinds of HTML elements.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select head".split())
+VOID = frozenset("area base br col embed hr img input link meta mprescripts none mspace param source track wbr".split())
+RAW = frozenset("script style noscript template svg iframe canvas textarea title select head annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr".split()
+    "samp small span strike strong sub sup time tt u var wbr "
+    # a formula or the fallback of an object is text of its block
+    "object math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts "
+    "mstyle merror mpadded mphantom mfenced menclose maction mtable mtr mtd mlabeledtr".split()
 )
 LANDMARKS = frozenset("nav header footer aside form article main dialog menu button fieldset".split())
 TEXT = frozenset("p li h1 h2 h3 h4 h5 h6 td th dd dt pre blockquote figcaption caption address summary".split())
@@ -119,7 +122,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if not m[0].endswith("/>"):
-                at = close.end() if close else (at if tag in ("head", "object", "svg", "math") else end)
+                at = close.end() if close else (at if tag in ("head", "svg", "annotation", "annotation-xml") else end)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
