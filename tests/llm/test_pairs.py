@@ -176,6 +176,19 @@ def test_cut_repeats_counts_chars_and_leaves_others(spark):
     assert got[1][0] == f" {p}\n\nend " and got[2] == ("start\nfin", 9) and got[3] == ("  as is ", 8)
 
 
+def test_substring_rows_that_share_an_id(spark):
+    """Different texts under one id lose each only what they have in common with smaller ids themselves."""
+    shared, other = [f"s{i}" for i in range(60)], [f"o{i}" for i in range(200)]
+    rows = [(1, " ".join(shared)), (2, " ".join([*shared, "tail"])), (2, " ".join(other)), (2, " ".join(other)), (3, " ".join(other[20:90] + shared[:55])), (2, None), (3, "")]
+    got = sorted((tuple(r) for r in substring_dedup.removals(frame(spark, rows)).collect()), key=str)
+    assert got == brute_removals(rows)
+    assert sorted(n for _, _, n, _ in got) == [0, 0, 0, 0, 0, 60, 125]
+    cut = substring_dedup.cut_repeats(frame(spark, rows)).where("doc_id = 2").select("text").collect()
+    assert sorted(str(r["text"]) for r in cut) == sorted(["None", "tail", " ".join(other), " ".join(other)])
+    found = sorted(tuple(r) for r in substring_dedup.maximal_repeats(frame(spark, rows)).collect())
+    assert found == [(2, 0, 60, " ".join(shared)), (3, 0, 125, " ".join(other[20:90] + shared[:55]))]
+
+
 def library():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

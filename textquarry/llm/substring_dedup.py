@@ -49,14 +49,19 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text of the rows with an id; ``row`` tells texts under one id apart."""
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
 def _spans(docs: DataFrame, length: int) -> DataFrame:
-    """seed, span, doc_id, lo, hi: every seed with the hash of all words its windows cover."""
+    """seed, span, doc_id, row, lo, hi: every seed with the hash of all words its windows cover."""
 
     def find(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, seed, span, lo, hi = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
+            ids, rows, seed, span, lo, hi = [], [], [], [], [], []
+            for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _texts(batch)):
                 words = _words(text)
                 if len(words) < length:
                     continue
@@ -65,79 +70,120 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
                 seed.append(s)
                 span.append(runs.of(first, last + length))
                 ids.append(np.full(len(s), doc_id, np.int64))
+                rows.append(np.full(len(s), row, np.int64))
                 lo.append(first)
                 hi.append(last)
             if ids:
                 yield pa.RecordBatch.from_pydict({
-                    "seed": np.concatenate(seed).view(np.int64), "span": np.concatenate(span).view(np.int64), "doc_id": np.concatenate(ids),
+                    "seed": np.concatenate(seed).view(np.int64), "span": np.concatenate(span).view(np.int64), "doc_id": np.concatenate(ids), "row": np.concatenate(rows),
                     "lo": np.concatenate(lo).astype(np.int32), "hi": np.concatenate(hi).astype(np.int32),
                 })
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(find, "seed long, span long, doc_id long, lo int, hi int")
+    return _named(docs).mapInArrow(find, "seed long, span long, doc_id long, row long, lo int, hi int")
 
 
 def _windows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """seed, run, doc_id, lo: each window of the chosen spans with the hash of its words."""
-    lists = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("spans"))
+    """seed, run, doc_id, row, lo: each window of the chosen spans with the hash of its words."""
+    lists = chosen.groupBy("doc_id", "row").agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("spans"))
 
     def open_up(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, seed, run, lo = [], [], [], []
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("spans").to_pylist()):
+            ids, rows, seed, run, lo = [], [], [], [], []
+            for doc_id, row, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _texts(batch), batch.column("spans").to_pylist()):
                 words = _words(text)
                 runs = RunHashes(hashes.of(words))
                 starts = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans])
                 marks = np.concatenate([np.full(s["hi"] + 1 - s["lo"], s["seed"], np.int64) for s in spans])
-                inside = starts + length <= len(words)
-                starts, marks = starts[inside], marks[inside]
                 ids.append(np.full(len(starts), doc_id, np.int64))
+                rows.append(np.full(len(starts), row, np.int64))
                 seed.append(marks)
                 run.append(runs.of(starts, starts + length))
                 lo.append(starts)
             if ids:
                 yield pa.RecordBatch.from_pydict({
                     "seed": np.concatenate(seed), "run": np.concatenate(run).view(np.int64),
-                    "doc_id": np.concatenate(ids), "lo": np.concatenate(lo).astype(np.int32),
+                    "doc_id": np.concatenate(ids), "row": np.concatenate(rows), "lo": np.concatenate(lo).astype(np.int32),
                 })
 
-    joined = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "spans")
-    return joined.mapInArrow(open_up, "seed long, run long, doc_id long, lo int")
+    joined = _named(docs).join(lists, ["doc_id", "row"]).select("doc_id", "row", "text", "spans")
+    return joined.mapInArrow(open_up, "seed long, run long, doc_id long, row long, lo int")
+
+
+def _smallest(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` held by several documents, with ``first``, the smallest that holds the same keys.
+
+    The smallest are written before they are joined, so that the join deals
+    both sides out itself and adaptive execution may split a hot key.
+    """
+    first = rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = scratch.keep(first.where("first < last").drop("last"))
+    return rows.join(first, keys)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
-    """doc_id, ranges: word ranges [lo, hi) of windows that a smaller document has too (they may overlap)."""
+    """doc_id, row, ranges: word ranges [lo, hi) of windows that a smaller document has too (they may overlap)."""
     spans = scratch.keep(_spans(docs, length))
     shared = spans.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("span").alias("s0"), F.max("span").alias("s1"))
-    # written, so that the join below exchanges both sides itself and adaptive execution may split a hot seed
     shared = scratch.keep(shared.where("d0 <> d1").select("seed", (F.col("s0") != F.col("s1")).alias("differ")))
     held = scratch.keep(spans.join(shared, "seed"))
-    owners = held.groupBy("seed", "span").agg(F.min("doc_id").alias("first"))
-    owned = scratch.keep(held.join(owners, ["seed", "span"]))
-    whole = owned.where("doc_id > first").select("doc_id", "lo", (F.col("hi") + length).alias("hi"))
-    chosen = owned.where("differ and doc_id = first").select("doc_id", "seed", "lo", "hi")
+    whole = _smallest(held, ["seed", "span"], scratch).where("doc_id > first").select("doc_id", "row", "lo", (F.col("hi") + length).alias("hi"))
+    # the first holder of every span that has a seed in common with another span
+    place = F.struct("doc_id", "row", "lo", "hi")
+    chosen = held.where("differ").groupBy("seed", "span").agg(F.min(place).alias("p")).select("seed", "p.*")
     windows = scratch.keep(_windows(docs, chosen, length))
-    smallest = windows.groupBy("seed", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    single = windows.join(smallest, ["seed", "run"]).where("doc_id > first").select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
-    return scratch.finish(whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    single = _smallest(windows, ["seed", "run"], scratch).where("doc_id > first").select("doc_id", "row", "lo", (F.col("lo") + length).alias("hi"))
+    return scratch.finish(whole.union(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+
+
+def joined_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap as one, in order: the maximal repeats."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def _kept(words: list[bytes], ranges: list[dict] | None) -> np.ndarray:
-    """Which words stay."""
-    n = len(words)
-    steps = np.zeros(n + 1, np.int64)
-    for r in ranges or ():
-        if r["hi"] <= n:
-            steps[r["lo"]] += 1
-            steps[r["hi"]] -= 1
-    return np.cumsum(steps[:n]) == 0
+def _kept(n: int, ranges: list[dict] | None) -> np.ndarray:
+    """Which of ``n`` words stay."""
+    stays = np.ones(n, bool)
+    for lo, hi in joined_ranges(ranges):
+        if hi > n:
+            raise ValueError(f"a repeat ends at word {hi} of {n}")
+        stays[lo:hi] = False
+    return stays
 
 
 def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    plain = docs.select("doc_id", "text")
-    found = repeats(plain, Scratch(docs.sparkSession, "substring"), length).withColumnRenamed("doc_id", "__of")
-    return docs.join(found.withColumnRenamed("ranges", "__ranges"), F.col("doc_id") == F.col("__of"), "left").drop("__of")
+    found = repeats(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "substring"), length)
+    found = found.select(F.col("doc_id").alias("__of"), F.col("row").alias("__row"), F.col("ranges").alias("__ranges"))
+    mine = (F.col("doc_id") == F.col("__of")) & (F.xxhash64("text") == F.col("__row"))
+    return docs.join(found, mine, "left").drop("__of", "__row")
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, lo, hi, passage: the words lo <= i < hi of a row that documents with smaller ids have too.
+
+    Every word of a passage lies in a run of ``length`` words that also stands
+    in a smaller document; passages of a row neither touch nor overlap. Rows
+    without one give none. Nulls, repeats and empty tables are as in ``removals``.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text, ranges in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("__ranges").to_pylist()):
+                words = _words(text)
+                out += [(doc_id, lo, hi, b" ".join(words[lo:hi]).decode()) for lo, hi in joined_ranges(ranges)]
+            columns = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "lo", "hi", "passage"])
+
+    rows = _with_ranges(docs.select("doc_id", "text"), length).where("__ranges is not null").select("doc_id", "text", "__ranges")
+    return rows.mapInArrow(cut, "doc_id long, lo int, hi int, passage string")
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -145,9 +191,9 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Null, empty and blank texts have no words and keep nothing; texts under
     ``length`` words lose nothing. Rows with a null id neither lose words nor
-    take any from others. Rows that repeat an id are one document: none is
-    smaller than the other. Ties between documents go to the smaller id. Extra
-    columns are ignored. An empty table gives an empty result.
+    take any from others. Rows that repeat an id take nothing from each other,
+    none being smaller, and each loses only what it has in common with smaller
+    ids itself. Extra columns are ignored. An empty table gives an empty result.
     """
 
     def digest(batches):
@@ -156,7 +202,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for text, ranges in zip(_texts(batch), batch.column("__ranges").to_pylist()):
                 words = _words(text)
                 if ranges:
-                    stays = _kept(words, ranges)
+                    stays = _kept(len(words), ranges)
                     left = [w for w, ok in zip(words, stays.tolist()) if ok]
                 else:
                     left = words
@@ -174,7 +220,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text`` and ``n_chars`` counted anew where it exists.
 
     Texts that lose nothing stay as they are. In the others the kept words
-    stand with the white space that preceded them. All columns and rows stay.
+    stand with the white space that preceded them. All columns and rows stay;
+    null, empty and repeated rows are as in ``removals``. An empty table gives
+    an empty result.
     """
     schema = docs.schema
 
@@ -188,7 +236,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if ranges:
                     text = texts[i] or b""
                     spans = [m.span() for m in word.finditer(text)]
-                    stays = _kept(spans, ranges).tolist()
+                    stays = _kept(len(spans), ranges).tolist()
                     parts, end = [], 0
                     for (a, b), ok in zip(spans, stays):
                         if ok:
