@@ -2,9 +2,9 @@
 
 The block elements of a page form a tree. Each node is content or not; a
 log-linear potential of its own looks at the tag, the words in class, id and
-role, and the amount and link share of its text, and a potential between parent
-and child, by kind of child, lets content and boilerplate spread along the
-tree. Sum-product messages go up to the root and down again and give each
+role, whether an article is around it, the amount and link share of its text
+and its share of the page, and a potential between parent and child, by kind of child, lets content
+and boilerplate spread along the tree. Sum-product messages go up to the root and down again and give each
 node's marginal; text of nodes with a content marginal of one half or more is
 the main text. The weights maximise the likelihood of labelled pages, with the
 expected counts of the gradient from the same messages. The default labelled
@@ -18,7 +18,7 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import cache
 
 import pyarrow as pa
@@ -27,14 +27,17 @@ from pyspark.sql import functions as F
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta mprescripts none mspace param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe canvas textarea title select head annotation annotation-xml".split())
+RAW = frozenset("script style noscript template iframe canvas textarea title desc metadata select head annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr "
-    # a formula or the fallback of an object is text of its block
-    "object math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts "
+    # a formula, the fallback of an object or the labels of a drawing are text of their block
+    "object svg g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts "
     "mstyle merror mpadded mphantom mfenced menclose maction mtable mtr mtd mlabeledtr".split()
 )
+#: Raw elements that hold nothing when their end tag is missing.
+OPEN_RAW = frozenset("head desc metadata annotation annotation-xml".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LANDMARKS = frozenset("nav header footer aside form article main dialog menu button fieldset".split())
 TEXT = frozenset("p li h1 h2 h3 h4 h5 h6 td th dd dt pre blockquote figcaption caption address summary".split())
 #: Elements that an opening tag of the key ends when they are open.
@@ -49,14 +52,76 @@ _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)(
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
+_SLASH_VALUE = re.compile(r"""=[^\s"'=<>]*/>\Z""")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "chars", "linked", "kids", "score", "up", "p", "p_odds")
+    __slots__ = ("tag", "parent", "names", "inside", "chars", "linked", "kids", "total", "bulk", "score", "up", "p", "p_odds")
 
     def __init__(self, tag: str, parent: Node | None, names: tuple[str, ...]):
         self.tag, self.parent, self.names = tag, parent, names
+        #: Whether an article is around the node.
+        self.inside = parent is not None and (parent.inside or parent.tag == "article")
         self.chars = self.linked = self.kids = 0
+        #: Characters of the node and all below, and how much of the page they are.
+        self.total = self.bulk = 0
+
+
+class _Open:
+    """The open elements: (name, block node) from the root on, inline elements with their block.
+
+    Names are counted in every block and every scope, so that an end tag or an
+    implied end that has nothing to end costs no search.
+    """
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("html", root)]
+        self.all: Counter[str] = Counter()
+        self.blocks: list[Counter[str]] = [Counter()]
+        self.scopes: list[tuple[str, Counter[str]]] = [("html", Counter())]
+        self.links = 0
+
+    def push(self, tag: str, node: Node) -> None:
+        self.stack.append((tag, node))
+        self.all[tag] += 1
+        self.links += tag == "a"
+        self.scopes[-1][1][tag] += 1
+        if tag in INLINE:
+            self.blocks[-1][tag] += 1
+        else:
+            self.blocks.append(Counter())
+        if tag in SCOPES:
+            self.scopes.append((tag, Counter()))
+
+    def pop(self) -> tuple[str, Node]:
+        tag, node = self.stack.pop()
+        self.all[tag] -= 1
+        self.links -= tag == "a"
+        if tag in SCOPES:
+            self.scopes.pop()
+        self.scopes[-1][1][tag] -= 1
+        if tag in INLINE:
+            self.blocks[-1][tag] -= 1
+        else:
+            self.blocks.pop()
+        return tag, node
+
+    def end(self, names) -> tuple[str, Node]:
+        """Ends open elements up to the nearest with one of the names, and returns that one."""
+        while True:
+            found = self.pop()
+            if found[0] in names:
+                return found
+
+    def before(self, tag: str) -> None:
+        """Ends what an opening block ends: a paragraph of the same scope, and its like."""
+        like = HEADINGS if tag in HEADINGS else ENDS.get(tag, ())
+        while True:
+            scope, inside = self.scopes[-1]
+            found = [x for x in ("p", *like) if inside[x]] or [x for x in like if x == scope]
+            if not found:
+                return
+            self.end(found)
 
 
 @cache
@@ -80,86 +145,88 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[Node, str]]]:
     page = page or ""
     root = Node("html", None, ())
     nodes, runs = [root], []
-    stack: list[tuple[str, Node]] = [("html", root)]  # open elements, inline ones with their block
-    links, at, end = 0, 0, len(page)
+    open_ = _Open(root)
+    unclosed: set[str] = set()
+    at, end = 0, len(page)
     while at < end:
         mark = page.find("<", at)
         if mark < 0:
             mark = end
         if mark > at:
-            node = stack[-1][1]
+            node = open_.stack[-1][1]
             text = page[at:mark]
             runs.append((node, text))
             n = len(text) - text.count(" ")
             node.chars += n
-            if links:
+            if open_.links:
                 node.linked += n
         if mark == end:
             break
         m = _TAG.match(page, mark)
         if not m:  # a lone "<" is text
-            runs.append((stack[-1][1], "<"))
+            runs.append((open_.stack[-1][1], "<"))
             at = mark + 1
             continue
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
+        closed = m[0].endswith("/>") and not _SLASH_VALUE.search(m[0])  # the slash of <a href=/> is a value
         if m[1]:
             if tag == "br":
-                runs.append((stack[-1][1], ""))
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[depth:])
-                    if stack[depth][1] is not stack[depth - 1][1] or tag not in INLINE:
-                        runs.append((stack[depth][1], ""))
-                    del stack[depth:]
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break  # an inline end tag does not reach beyond its block
+                runs.append((open_.stack[-1][1], ""))
+            elif tag in INLINE:
+                if open_.blocks[-1][tag]:  # an inline end tag does not reach beyond its block
+                    open_.end((tag,))
+            else:
+                names = HEADINGS if tag in HEADINGS else (tag,)
+                if any(open_.all[x] for x in names):
+                    runs.append((open_.end(names)[1], ""))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not m[0].endswith("/>"):
-                at = close.end() if close else (at if tag in ("head", "svg", "annotation", "annotation-xml") else end)
+            if not closed and tag not in unclosed:
+                close = _closing(tag).search(page, at)
+                if close:
+                    at = close.end()
+                elif tag in OPEN_RAW:
+                    unclosed.add(tag)
+                else:
+                    at = end
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                runs.append((stack[-1][1], ""))
+                runs.append((open_.stack[-1][1], ""))
             continue
         if tag in INLINE:
-            if not m[0].endswith("/>"):
-                if tag == "a":
-                    links += 1
-                stack.append((tag, stack[-1][1]))
+            if not closed:
+                open_.push(tag, open_.stack[-1][1])
             continue
         if tag in ("html", "body"):
             root.names = tuple(sorted({*root.names, *_attribute_words(m[3])})) if tag == "body" else root.names
             continue
-        # a block ends an open paragraph, and some blocks end their like
-        closes = ENDS.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1):
-            name = stack[depth][0]
-            if name == "p" or name in closes or (tag[0] == "h" and name in TEXT and name[0] == "h" and tag[1:].isdigit() and name[1:].isdigit()):
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                del stack[depth:]
-                if name == "p":
-                    continue
-                break
-            if name in SCOPES:
-                break
-        parent = stack[-1][1]
+        open_.before(tag)
+        parent = open_.stack[-1][1]
         runs.append((parent, ""))
         parent.kids += 1
         node = Node(tag, parent, _attribute_words(m[3]))
         nodes.append(node)
         runs.append((node, ""))
-        if not m[0].endswith("/>"):
-            stack.append((tag, node))
+        if not closed:
+            open_.push(tag, node)
+    for node in reversed(nodes):  # children stand after their parents
+        node.total += node.chars
+        if node.parent is not None:
+            node.parent.total += node.total
+    for node in nodes:
+        node.bulk = 2 if 2 * node.total > root.total else 1 if 10 * node.total > root.total else 0
     return nodes, runs
 
 
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def kind(node: Node) -> str:
     return "landmark" if node.tag in LANDMARKS else "text" if node.tag in TEXT else "block"
 
@@ -170,8 +237,11 @@ def _size(chars: int) -> int:
 
 
 def features(node: Node) -> list[str]:
-    out = ["bias", "tag=" + node.tag]
-    out += ["name=" + w for w in node.names]
+    place = "^" if node.inside else ""
+    out = ["bias", "tag=" + node.tag + place]
+    out += ["name=" + w + place for w in node.names]
+    if kind(node) == "block":  # what other elements are for is known by their tag
+        out.append(f"bulk={node.bulk}")
     chars = node.chars
     if chars:
         if node.tag not in TEXT:  # short paragraphs and items are common inside and outside
@@ -193,7 +263,7 @@ class Model:
 
     def score(self, node: Node) -> float:
         """Log odds of content from the node's own potential."""
-        key = (node.tag, node.names, _size(node.chars), node.linked > 0.8 * node.chars if node.chars else None, node.linked > 0.3 * node.chars)
+        key = (node.tag, node.names, node.inside, node.bulk, _size(node.chars), node.linked > 0.8 * node.chars if node.chars else None, node.linked > 0.3 * node.chars)
         found = self.memory.get(key)
         if found is None:
             if len(self.memory) > 100_000:
@@ -311,7 +381,7 @@ BOILERPLATE_NAMES = {
 }
 
 
-def labelled_pages(count: int = 300, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 500, seed: int = 11) -> list[str]:
     """Pages of many layouts whose content blocks carry the attribute ``data-main``."""
     r = random.Random(seed)
     letters = "etaoinshrdlucmfwyp"
@@ -339,6 +409,8 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[str]:
             inner = f"<h3>{words(1, 3)}</h3>" + "".join(f'<div class="comment"><p>{words(5, 40)}</p></div>' for _ in range(r.randint(1, 5)))
         elif k == "nav":
             inner = links(r.randint(3, 8))
+            if inner.startswith("<ul>") and r.random() < 0.5:  # the list carries the name itself
+                return f"<ul{names(BOILERPLATE_NAMES[k], 1.0)}>{inner[4:]}"
         elif k in ("ad", "notice"):
             inner = r.choice([f"<p>{words(5, 25)}</p>", words(5, 20), f"{words(3, 12)} <a href=/x>{words(1, 3)}</a>", f"<div>{words(4, 20)}</div>"])
         elif k == "footer":
@@ -356,7 +428,8 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[str]:
         if x < 0.68:
             return f"<p data-main>{words(*r.choice([(1, 5), (3, 20), (10, 60), (40, 140)]))}" + r.choice(["", "", f" <a href=/y>{words(1, 4)}</a> {words(2, 9)}", f"<br>{words(3, 9)}", f"<b>{words(1, 5)}"]) + r.choice(["</p>", "</p>", ""])
         if x < 0.78:
-            return f"<h{r.randint(2, 4)} data-main>{words(1, 9)}</h2>"
+            level = r.randint(2, 4)
+            return f"<h{level} data-main>{words(1, 9)}</h{level}>"
         if x < 0.86:
             return "<ul data-main>" + "".join(f"<li data-main>{words(2, 25)}</li>" for _ in range(r.randint(1, 6))) + "</ul>"
         if x < 0.91:
@@ -365,19 +438,46 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[str]:
             return f"<pre data-main>{words(5, 40)}</pre>"
         return f"<table data-main><tr data-main><td data-main>{words(1, 6)}</td><td data-main>{words(1, 6)}</td></tr></table>"
 
+    def headed(tag: str) -> str:
+        """The title, in articles sometimes inside a header of its own."""
+        title = f"<h1 data-main>{words(2, 12)}</h1>"
+        if tag == "article" and r.random() < 0.35:
+            named = r.choice(["", f' class="{r.choice(CONTENT_NAMES)}-{r.choice(["header", "title", "head"])}"'])
+            more = r.choice(["", f"<p data-main>{words(4, 30)}</p>", boilerplate("share")])
+            return f"<header{named} data-main>{title}{more}</header>"
+        return title
+
+    def plain(blocks: list[str]) -> str:
+        """Content without a named container: in unnamed elements, or in none."""
+        body = "".join(blocks)
+        if r.random() < 0.4:
+            body = r.choice(["<br>", "<br><br>", "<hr>"]).join(words(5, 90) for _ in range(r.randint(1, 6)))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            tag = r.choice(["div", "div", "div", "center", "section", "table"])
+            body = f"<table data-main><tr data-main><td data-main>{body}</td></tr></table>" if tag == "table" else f"<{tag} data-main>{body}</{tag}>"
+        return body
+
     pages = []
     for _ in range(count):
-        title = f"<h1 data-main>{words(2, 12)}</h1>"
-        blocks = [block() for _ in range(r.choice([1, 2, 3, 5, 9, 14, 30, 60]))]
-        if r.random() < 0.3:
-            blocks.insert(r.randint(0, len(blocks)), boilerplate(r.choice(["ad", "aside", "share", "notice"])))
-        body = title + "".join(blocks)
         tag = r.choice(["article", "article", "article", "main", "div", "section"])
-        body = f"<{tag}{names(CONTENT_NAMES, 0.4 if tag in LANDMARKS else 1.0)} data-main>{body}</{tag}>"
-        for _ in range(r.randint(0, 2)):
-            body = f"<{r.choice(['div', 'main', 'section'])}{names(CONTENT_NAMES + OUTER_NAMES, 0.7)} data-main>{body}</div>"
+        blocks = [block() for _ in range(r.choice([1, 2, 3, 5, 9, 14, 30, 60]))]
+        if r.random() < 0.1:  # hardly any content
+            blocks = [f"<p data-main>{words(1, 3)}</p>"]
+        if r.random() < 0.25:
+            body = plain([*([f"<h1 data-main>{words(2, 12)}</h1>"] if r.random() < 0.6 else []), *blocks])
+        else:
+            if r.random() < 0.3:
+                blocks.insert(r.randint(0, len(blocks)), boilerplate(r.choice(["ad", "aside", "share", "notice"])))
+            if tag == "article" and r.random() < 0.25:
+                blocks.append(boilerplate(r.choice(["footer", "form", "share", "nav", "comments"])))
+            body = headed(tag) + "".join(blocks)
+            body = f"<{tag}{names(CONTENT_NAMES, 0.4 if tag in LANDMARKS else 1.0)} data-main>{body}</{tag}>"
+            for _ in range(r.randint(0, 2)):
+                body = f"<{r.choice(['div', 'main', 'section'])}{names(CONTENT_NAMES + OUTER_NAMES, 0.7)} data-main>{body}</div>"
         before = [boilerplate(k) for k in ("header", "nav", "notice", "ad", "form") if r.random() < 0.5]
         after = [boilerplate(k) for k in ("comments", "aside", "share", "ad", "form", "footer") if r.random() < 0.5]
+        if r.random() < 0.15:
+            before, after = [], []
         r.shuffle(before)
         pages.append(f"<html><head><title>{words(2, 6)}</title></head><body data-main>{''.join(before)}{body}{''.join(after)}</body></html>")
     return pages
