@@ -1,6 +1,7 @@
 """Text extraction, scoring, classification, rules and search: brute force, held-out accuracy, edge cases."""
 
 import collections
+import fractions
 import itertools
 import math
 import random
@@ -73,6 +74,57 @@ def test_formulas_and_fallbacks_stay_in_their_paragraph(model):
     assert text == f"The energy E=42 is known, a fallback too{rest}. Second{rest}."
 
 
+STORY = "The ferry left the harbour at noon and nobody on board had any idea how long the crossing would take."
+MORE = "By the evening the wind had dropped, and the captain told them that they would have to wait for the tide."
+# Pages written by hand, in layouts that the module's own templates don't have, with their main text.
+LAYOUTS = {
+    "no container": (f"<body><h1>A crossing</h1><p>{STORY}</p><p>{MORE}</p></body>", f"A crossing {STORY} {MORE}"),
+    "unnamed divisions": (f"<body><div><p>{STORY}</p><p>Another one.</p></div></body>", f"{STORY} Another one."),
+    "no tag at all": (STORY, STORY),
+    "unclosed paragraphs": (f"<p>{STORY}<p>{MORE}", f"{STORY} {MORE}"),
+    "nested divisions with breaks": (f"<body><div><div><div>{STORY}<br>{MORE}</div></div></div></body>", f"{STORY} {MORE}"),
+    "a layout table": (f"<body><table><tr><td>{STORY}</td></tr><tr><td>{MORE}</td></tr></table></body>", f"{STORY} {MORE}"),
+    "old formatting": (f"<body bgcolor=white><center><font size=2>{STORY}</font></center><hr><p>{MORE}</body>", f"{STORY} {MORE}"),
+    "a header in the article": (
+        f"<body><header><a href=/>The Gazette</a></header><article><header class='article-header'><h1>A crossing</h1></header><p>{STORY}</p><p>{MORE}</p></article><footer>Imprint</footer></body>",
+        f"A crossing {STORY} {MORE}",
+    ),
+    "a plain page with menu and footer": (
+        f"<body><ul class=menu><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul><div><h2>A crossing</h2><p>{STORY}</p></div><div id=footer>All rights reserved</div></body>",
+        f"A crossing {STORY}",
+    ),
+    "a drawing with labels": (f"<body><article><p>{STORY} <svg width=9><title>tip</title><g><text x=1>north</text></g></svg> {MORE}</p></article></body>", f"{STORY} north {MORE}"),
+    "wrong heading ends": (f"<body><main><h2>A crossing</h3><p>{STORY}</p></main></body>", f"A crossing {STORY}"),
+    "nothing but a frame": ("<body><nav><a href=/>Home</a></nav><footer>Imprint</footer></body>", ""),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_extraction_of_layouts_by_hand(model, name):
+    page, text = LAYOUTS[name]
+    assert hx.text_of(page, model) == text
+
+
+def test_parsing_is_linear():
+    """Stray end tags and unclosed elements cost no search of all open elements."""
+    import time
+
+    def seconds(make):
+        took = []
+        for n in (4000, 32000):
+            page, least = make(n), math.inf
+            for _ in range(3):
+                begin = time.process_time()
+                hx.parse(page)
+                least = min(least, time.process_time() - begin)
+            took.append(least)
+        return took
+
+    for make in (lambda n: "<div>" * n + "</p>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<head>" * n, lambda n: "<ul><li>" * n + "</ol>" * n):
+        small, large = seconds(make)
+        assert large < 24 * small + 0.05  # eight times the tags; quadratic would be 64 times
+
+
 def test_extracted(spark, model):
     rows = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 0), (3, "v", "", 1)], "page_id long, url string, html string, text int")
     got = hx.extracted(rows, model).collect()
@@ -184,21 +236,89 @@ def test_toxicity(spark):
     assert rates[1] > 0.85 and rates[0] < 0.03
 
 
+def problem_rows(seed, n=40, width=12):
+    r = np.random.default_rng(seed)
+    rows = [np.flatnonzero(r.random(width) < 0.3) for _ in range(n)]
+    y = (r.random(n) < 0.4).astype(float)
+    pairs = [(np.flatnonzero(r.random(width) < 0.1), np.flatnonzero(r.random(width) < 0.1)) for _ in range(15)]
+    return rows, y, pairs, width
+
+
+def brute_loss(rows, y, pairs, w, b):
+    """Both parts of the loss, row by row."""
+    out = 0.0
+    for row, label in zip(rows, y):
+        p = 1 / (1 + math.exp(-(sum(w[i] for i in row) + b)))
+        out -= 0.5 / (y.sum() if label else len(y) - y.sum()) * math.log(p if label else 1 - p)
+    changes = [sum(w[i] for i in less) - sum(w[i] for i in more) for less, more in pairs]
+    return out + toxicity.COUNTERFACTUAL * sum(x * x for x in changes) / len(changes)
+
+
+def test_toxicity_loss_and_gradient():
+    rows, y, pairs, width = problem_rows(3)
+    problem = toxicity.Problem(rows, y, pairs, width)
+    w, b, h = np.random.default_rng(1).normal(0, 1, width), 0.3, 1e-6
+    assert problem.loss(w, b) == pytest.approx(brute_loss(rows, y, pairs, w, b), rel=1e-12)
+    gradient, gradient_b = problem.gradient(w, b)
+    for i in range(width):
+        step = np.eye(width)[i] * h
+        assert gradient[i] == pytest.approx((brute_loss(rows, y, pairs, w + step, b) - brute_loss(rows, y, pairs, w - step, b)) / (2 * h), abs=1e-7)
+    assert gradient_b == pytest.approx((brute_loss(rows, y, pairs, w, b + h) - brute_loss(rows, y, pairs, w, b - h)) / (2 * h), abs=1e-7)
+
+
+def test_toxicity_fit_is_the_minimum():
+    """At the minimum of loss + l1 the gradient cancels the penalty, or is under it where a weight is 0."""
+    rows, y, pairs, width = problem_rows(7, 200)
+    w, b = toxicity.fit(rows, y, pairs, width)
+    gradient, gradient_b = toxicity.Problem(rows, y, pairs, width).gradient(w, b)
+    assert abs(gradient_b) < 1e-4 and (np.abs(gradient) <= toxicity.L1 + 1e-4).all()
+    assert np.abs(gradient + toxicity.L1 * np.sign(w))[w != 0].max() < 1e-4
+
+
+def test_toxicity_choice_of_features(spark):
+    """The chosen features are those of a plain chi-square over the rows."""
+    r = random.Random(4)
+    texts = [(int(i % 3 == 0), " ".join(r.choices(["awful", "stupid", "fine"] if i % 3 == 0 else ["fine", "garden", "lovely"], k=6))) for i in range(120)]
+    got = toxicity.choose(spark.createDataFrame(texts, "toxic int, text string"), 5)
+    sets = [set(toxicity.text_features(toxicity.text_words(t)).tolist()) for _, t in texts]
+    n, p = len(texts), sum(y for y, _ in texts)
+    chi = {}
+    for f in set().union(*sets):
+        df, positive = sum(f in s for s in sets), sum(y for (y, _), s in zip(texts, sets) if f in s)
+        if df >= toxicity.LEAST_ROWS:
+            chi[f] = (positive - df * p / n) ** 2 / (df * p / n * (1 - p / n) * (1 - df / n) + 1e-9)
+    best = sorted((f for f in chi if chi[f] > toxicity.LEAST_CHI), key=lambda f: (-chi[f], f))[:5]
+    assert got.tolist() == sorted(best) and len(best) == 5
+
+
 def test_counterfactual_penalty():
     """A term that occurs with toxic texts loses most of its weight when swaps are penalised."""
     r = random.Random(1)
     texts = [({"idiot", "muslim", *r.choices("abcdefgh", k=4)}, 1) for _ in range(60)] + [({*r.choices("abcdefgh", k=5)}, 0) for _ in range(60)]
-    rows, y = [toxicity.text_features(t) for t, _ in texts], np.array([v for _, v in texts], float)
-    pairs = [(a, toxicity.text_features(s)) for (t, _), a in zip(texts, rows) for s in toxicity.swapped(t)]
+    features = [toxicity.text_features(t) for t, _ in texts]
+    chosen = np.unique(np.concatenate(features))
+    rows, y = [np.searchsorted(chosen, f) for f in features], np.array([v for _, v in texts], float)
+    pairs = [toxicity.swap_change(t, s, chosen) for t, _ in texts for s in toxicity.swapped(t)]
 
     def weight(model, word):
-        return sum(w for f, w in zip(model[0].tolist(), model[1]) if f in toxicity.word_features(word))
+        return sum(w for f, w in zip(chosen.tolist(), model[0]) if f in toxicity.word_features(word))
 
-    plain, fair = toxicity.fit(rows, y, []), toxicity.fit(rows, y, pairs)
+    plain, fair = toxicity.fit(rows, y, [], len(chosen)), toxicity.fit(rows, y, pairs, len(chosen))
     assert weight(fair, "muslim") < 0.5 * weight(plain, "muslim") and weight(fair, "idiot") > weight(fair, "muslim")
     assert toxicity.swapped({"a", "b"}) == [] and all("gay" not in s for s in toxicity.swapped({"gay", "a"}))
 
 
+def test_toxicity_learns_from_labels_only(spark):
+    """The neutral sentences are no rows: with labels of one class there is nothing to tell apart, and the bias is that class."""
+    docs = spark.createDataFrame([(i, "plain words") for i in range(50)], "doc_id long, text string")
+    assert [len(x) for x in toxicity.train(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int"))[:2]] == [0, 0]
+    assert toxicity.toxicity(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")).where("predicted = 0").count() == 0
+    # an id that many rows share is one document to learn from
+    hot = docs.unionByName(spark.range(500).selectExpr("7L as doc_id", "concat('copy ', id) as text"))
+    sample = toxicity._sampled(hot, spark.createDataFrame([(i, i % 2) for i in range(50)] * 2, "doc_id long, toxic int"))
+    assert sample.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(50))
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "fine words", "k"), (2, None, "k"), (3, "", "k"), (None, "idiot", "k"), (1, "fine words", "k")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -312,7 +432,7 @@ def brute_top(rows, k=20):
 @pytest.mark.parametrize("seed", range(3))
 def test_maxscore(spark, seed, monkeypatch):
     monkeypatch.setattr(maxscore, "SHARD", 64)
-    monkeypatch.setattr(maxscore, "BLOCK", 5)
+    monkeypatch.setattr(maxscore, "CHUNK_BYTES", 600)
     monkeypatch.setattr(maxscore, "SEED", 30)
     r = np.random.default_rng(seed)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 12)]) for i in range(300)]
@@ -323,6 +443,34 @@ def test_maxscore(spark, seed, monkeypatch):
     assert got == brute_top(rows)
 
 
+@pytest.mark.parametrize("scale", [1.0, 9e6, 1e9, 1e300, None])
+def test_maxscore_is_exact_for_all_finite_components(scale, monkeypatch):
+    """Sums beyond 2**53 are exact, scores beyond a long count as its end; shards share their floors."""
+    monkeypatch.setattr(maxscore, "SEED", 30)
+    r = np.random.default_rng(5)
+    v = r.normal(0, 1, (300, 7)) * (10.0 ** r.integers(-3, 200, (300, 1)) if scale is None else scale)
+    v[40:44] = v[40]
+    if scale == 1e300:
+        v[:3] = 1.7e308
+    ids, exact = np.arange(300), [[math.floor(64 * fractions.Fraction(x)) for x in row] for row in v.tolist()]
+    asked = maxscore.Queries(ids[::20], v[::20])
+    best = maxscore.Best(15, 20)
+    for begin in range(0, 300, 64):
+        asked.meet(best, ids[begin : begin + 64], v[begin : begin + 64])
+    for row, q in enumerate(range(0, 300, 20)):
+        sums = [(min(max(sum(a * b for a, b in zip(exact[q], exact[c])), -(1 << 63)), (1 << 63) - 1), c) for c in range(300) if c != q]
+        want = sorted(sums, key=lambda x: (-x[0], x[1]))[:20]
+        assert list(zip(best.scores[row].tolist(), best.ids[row].tolist())) == want
+
+
+def test_maxscore_of_large_components(spark):
+    rows = [(0, [9.0e6, 9.0e6 + 1]), (1, [9.0e6 + 3, -1.0]), (2, [9.0e6 + 3, 5.0e6 + 1]), (3, [1e300, -1e300]), (4, [1.7e308, 1.7e308]), (5, [-1.7e308, 0.0])]
+    got = [tuple(x) for x in maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    ints = {i: [math.floor(64 * fractions.Fraction(x)) for x in v] for i, v in rows}
+    want = sorted(((min(max(sum(a * b for a, b in zip(ints[0], ints[i])), -(1 << 63)), (1 << 63) - 1), i) for i in range(1, 6)), key=lambda x: (-x[0], x[1]))
+    assert got == [(0, n, i, s) for n, (s, i) in enumerate(want, 1)]
+
+
 def test_maxscore_small_tables(spark):
     table = spark.createDataFrame([(0, [0.5]), (1, [0.25])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in maxscore.top_k(table).collect()] == [(0, 1, 1, 512)]
