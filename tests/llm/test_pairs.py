@@ -140,6 +140,58 @@ def test_contract(spark, one_task):
     assert got == {x: find(x) for x in parent if x not in loops}
 
 
+@pytest.mark.parametrize("order", ["rising", "zigzag", "random", "star of chains"])
+def test_contract_takes_few_rounds(spark, order):
+    """A chain of 1,000 links, by all tasks: the number of tables grows with the logarithm."""
+    r = random.Random(5)
+    nodes = {"rising": list(range(1001)), "zigzag": [i // 2 if i % 2 else 1000 - i // 2 for i in range(1001)], "random": r.sample(range(5000), 1001)}.get(order)
+    edges = list(zip(nodes, nodes[1:])) if nodes else [(10_000 if i % 50 == 0 else i, i + 1) for i in range(1000)]
+    scratch = Scratch(spark, "t")
+    got = contract(spark.createDataFrame(edges, "a long, b long"), scratch, 0)
+    assert {x["label"] for x in got.collect()} == {min(min(e) for e in edges)} and got.count() == len({x for e in edges for x in e})
+    assert scratch.n <= 40
+
+
+def test_lists_in_blocks():
+    """Lists that go over blocks give the same pairs and rows as all rows at once."""
+    r = np.random.default_rng(3)
+    token = np.sort(np.concatenate([r.integers(0, 400, 1500), np.full(300, 77), np.full(40, 399)]))
+    rows = [token, r.integers(0, 90, len(token)), r.integers(5, 9, len(token)), r.integers(0, 3, len(token))]
+    rows[2:] = [rows[1] % 4 + 5, rows[1] % 3]  # a key's size and place go with it
+
+    def result(step):
+        lists, pairs, longer = jaccard_join._Lists(75), set(), set()
+        parts = [[x[i : i + step] for x in rows] for i in range(0, len(token), step)]
+        out = [b for i, p in enumerate(parts) for b in lists.take(p, last=i == len(parts) - 1)] + list(lists.flush())
+        for batch in out:
+            for t, k, n, at, other in zip(*(batch.column(c).to_pylist() for c in ("token", "key", "n", "at", "other"))):
+                pairs.add((k, other)) if t is None else longer.add((t, k, n, at))
+        return pairs, longer
+
+    pairs, longer = set(), set()
+    for t in set(token.tolist()):
+        held = sorted({(int(k), int(n), int(at)) for k, n, at in zip(rows[1][token == t], rows[2][token == t], rows[3][token == t])})
+        if len(held) > jaccard_join.SMALL_LIST:
+            longer |= {(t, *x) for x in held}
+        else:
+            pairs |= {(a[0], b[0]) for i, a in enumerate(held) for b in held[i + 1 :] if jaccard_join.overlap_possible(a[1], b[1], a[2], b[2])}
+    for step in (5000, 100, 17, 1):
+        assert result(step) == (pairs, longer)
+
+
+def test_sets_with_equal_keys_stay_apart(spark, monkeypatch):
+    """64 bits of the digest name a class; sets that share them get other names."""
+    rows = corpus(6)
+    whole = jaccard_join.signatures
+
+    def crowded(docs, hot, percent=75):
+        return whole(docs, hot, percent).withColumn("key", F.pmod("key", F.lit(5)).cast("long"))
+
+    monkeypatch.setattr(jaccard_join, "signatures", crowded)
+    got = sorted((tuple(r) for r in jaccard_join.components(frame(spark, rows)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
 def brute_removals(rows, length=50):
     owner = {}
     words = [(text or "").encode().split() for _, text in rows]

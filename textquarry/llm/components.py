@@ -34,14 +34,28 @@ def _union(batches):
     yield pa.RecordBatch.from_pydict({"node": nodes, "label": nodes[[root(i) for i in range(len(nodes))]]})
 
 
+def _roots(parent: DataFrame, scratch: Scratch) -> DataFrame:
+    """``parent`` (node, up) with every node's root as ``up``, by doubling: log2 of the longest way to a root steps."""
+    while True:
+        above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumped = scratch.keep(parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        still = jumped.where("moved").isEmpty()
+        scratch.drop(scratch.n - 1)
+        parent = jumped.drop("moved")
+        if still:
+            return parent
+
+
 def contract(links: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) -> DataFrame:
     """Smallest reachable node of every node that has a link.
 
     ``links`` has long columns ``a`` and ``b``. Where there are more than
-    ``one_task`` of them, each round hooks every node to
-    its smallest neighbour (or itself), renames the links and drops those that
-    became loops; the rounds end when no link is left. Returns ``node, label``.
-    A hub with many links only costs partial sums: each round aggregates with
+    ``one_task`` of them, each round hooks every node to its smallest neighbour
+    (or itself), goes up to the roots, renames the links and drops those that
+    became loops; the rounds end when no link is left. A root of one round has
+    a smaller neighbour in the next unless it has taken in all its neighbours,
+    so two rounds leave half the nodes at most. Returns ``node, label``. A hub
+    with many links only costs partial sums: each round aggregates with
     map-side combining, and skewed joins are left to adaptive execution.
     """
     links = scratch.keep(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -52,7 +66,7 @@ def contract(links: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) -> Da
         ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(
             links.select(F.col("b").alias("node"), F.col("a").alias("to"))
         )
-        parent = scratch.keep(ends.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("up")))
+        parent = _roots(scratch.keep(ends.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("up"))), scratch)
         if labels is None:
             renamed = parent.select("node", F.col("up").alias("label"))
         else:

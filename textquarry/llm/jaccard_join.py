@@ -46,8 +46,10 @@ PIVOTS = 32
 SAMPLE, HOT_COUNT = 16, 6
 #: Most frequent shingles that the first order knows (8 bytes each are broadcast).
 HOT_LIMIT = 500_000
-#: Ids up to this many are broadcast (8 bytes each); beyond, Spark joins by shuffling.
+#: Ids up to this many are broadcast (8 bytes each), and pivots up to a quarter; beyond, Spark joins by shuffling.
 ID_LIMIT = 2_000_000
+#: Posting rows, and candidate pairs, that a task holds at once when it groups lists.
+BLOCK = 400_000
 #: Seeds of the further orders.
 ORDERS = (0x51ED270B, 0xB5297A4D)
 
@@ -191,59 +193,125 @@ def _postings(signed: DataFrame, column: str) -> DataFrame:
     return signed.select("key", "n", skip.alias("skip"), column).mapInArrow(explode, "token long, key long, n int, at int")
 
 
-def _cold_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Groups the rare tokens: pairs of short lists (token null, key and other), rows of longer lists (other null)."""
-    schema = "token long, key long, n int, at int, other long"
-
-    def group(batches):
-        parts = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "key", "n", "at")] for batch in batches]
-        if not parts:
+class _Lists:
+    """Posting rows in token order -> pairs of short lists and rows of longer ones, a bounded block at a time."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.rest = [np.zeros(0, np.int64)] * 4  # rows of the last token so far: token, key, n, at
+        self.long: int | None = None  # the last token, once it is known to have a longer list
+        self.pairs = np.zeros((0, 2), np.int64)
+
+    def take(self, columns: list[np.ndarray], last: bool = False):
+        """Record batches for what is complete with these rows."""
+        columns = [np.concatenate([x, y]) for x, y in zip(self.rest, columns)]
+        self.rest = [x[:0] for x in columns]
+        if self.long is not None:
+            more = columns[0] == self.long
+            yield from self._rows([x[more] for x in columns])
+            columns = [x[~more] for x in columns]
+        if not len(columns[0]):
             return
-        token, key, n, at = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((key, token))
-        token, key, n, at = token[order], key[order], n[order], at[order]
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, n, at = token[fresh], key[fresh], n[fresh].astype(np.int64), at[fresh].astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [x[order] for x in columns]
+        fresh = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+        columns = [x[fresh] for x in columns]
+        if not last:
+            tail = columns[0] == columns[0][-1]
+            if tail.sum() > SMALL_LIST:
+                self.long = int(columns[0][-1])
+            else:
+                self.rest = [x[tail] for x in columns]
+                columns = [x[~tail] for x in columns]
+        token, key, n, at = columns
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [len(token)]]))
-        pairs = []
+        found = [self.pairs]
         for size in range(2, SMALL_LIST + 1):
             first = starts[sizes == size]
             for i in range(size):
                 for j in range(i + 1, size):
                     x, y = first + i, first + j
-                    ok = overlap_possible(n[x], n[y], at[x], at[y], percent)
-                    pairs.append(np.stack([key[x[ok]], key[y[ok]]], axis=1))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+                    ok = overlap_possible(n[x], n[y], at[x], at[y], self.percent)
+                    found.append(np.stack([key[x[ok]], key[y[ok]]], axis=1))
+        self.pairs = np.unique(np.concatenate(found), axis=0)
+        if last or len(self.pairs) > BLOCK:
+            yield from self.flush()
+        longer = np.repeat(sizes > SMALL_LIST, sizes)
+        yield from self._rows([x[longer] for x in columns])
+
+    @staticmethod
+    def _rows(columns: list[np.ndarray]):
+        token, key, n, at = columns
+        if len(token):
+            yield pa.RecordBatch.from_pydict({"token": token, "key": key, "n": n.astype(np.int32), "at": at.astype(np.int32), "other": pa.nulls(len(token), pa.int64())})
+
+    def flush(self):
+        pairs, self.pairs = self.pairs, self.pairs[:0]
         if len(pairs):
             none, none32 = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
             yield pa.RecordBatch.from_pydict({"token": none, "key": pa.array(pairs[:, 0]), "n": none32, "at": none32, "other": pa.array(pairs[:, 1])})
-        long = np.repeat(sizes > SMALL_LIST, sizes)
-        if long.any():
-            none = pa.nulls(int(long.sum()), pa.int64())
-            yield pa.RecordBatch.from_pydict({"token": token[long], "key": key[long], "n": n[long].astype(np.int32), "at": at[long].astype(np.int32), "other": none})
 
-    return postings.repartition("token").mapInArrow(group, schema)
+
+def _cold_lists(postings: DataFrame, percent: int) -> DataFrame:
+    """Groups the rare tokens: pairs of short lists (token null, key and other), rows of longer lists (other null).
+
+    Spark sorts (and spills); the function sees each list's rows one after the
+    other and holds a block of rows, a short list and a block of pairs.
+    """
+
+    def group(batches):
+        lists, held, size = _Lists(percent), [], 0
+        none = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "key", "n", "at")])
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield from lists.take([np.concatenate(c) for c in zip(*held)])
+                held, size = [], 0
+        yield from lists.take([np.concatenate(c) for c in zip(*held)] if held else none, last=True)
+        yield from lists.flush()
+
+    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(group, "token long, key long, n int, at int, other long")
+
+
+def _with_own_keys(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``signed`` with one key for each digest: where two sets have the same key, they get others until none have."""
+    rounds = 0
+    while True:
+        other = F.xxhash64("digest")
+        shared = signed.groupBy("key").agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi")
+        shared = scratch.keep(shared.select("key", F.lit(True).alias("shared")))
+        n = shared.count()
+        if not n:
+            return signed
+        rounds += 1
+        joined = signed.join(F.broadcast(shared) if n <= ID_LIMIT else shared, "key", "left")
+        key = F.when(F.col("shared"), F.xxhash64("digest", F.lit(rounds))).otherwise(F.col("key"))
+        signed = scratch.keep(joined.withColumn("key", key).select(*signed.columns))
+
+
+def _small(rows: DataFrame, limit: int) -> DataFrame:
+    """A written table, to be broadcast if it has no more rows than ``limit``."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
 
 
 def _sketches(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """key, n, sketch, text for the documents of ``ids`` (doc_id, key)."""
-    if ids.count() <= ID_LIMIT:
-        ids = F.broadcast(ids)
+    """key, n, sketch, text for the documents of ``ids`` (doc_id, key, digest of the set)."""
 
     def build(batches):
         hashes = WordHashes()
         for batch in batches:
             sizes, blobs, same = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), _binary(batch, "text")):
+            for digest, text in zip(batch.column("digest").to_pylist(), _binary(batch, "text")):
                 s = shingle_set(text, hashes)
                 sizes.append(len(s))
                 blobs.append(b"".join(x.tobytes() for x in sketch(s, percent)))
-                same.append(class_key(set_digest(s)) == key)  # another row may have the same id
+                same.append(set_digest(s) == digest)  # another row may have the same id
             out = pa.RecordBatch.from_pydict({"key": batch.column("key"), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(blobs, pa.binary()), "text": batch.column("text")})
             yield out.filter(pa.array(same, pa.bool_()))
 
-    chosen = docs.select("doc_id", "text").join(ids, "doc_id").select("key", "text")
+    chosen = docs.select("doc_id", "text").join(_small(ids, ID_LIMIT // 4), "doc_id").select("key", "digest", "text")
     return chosen.mapInArrow(build, "key long, n int, sketch binary, text string")
 
 
@@ -285,7 +353,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(signed, labels): signatures of all documents; ``node, label`` of class keys with a link to another class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.keep(signatures(docs, frequent_shingles(docs), percent))
+    signed = _with_own_keys(scratch.keep(signatures(docs, frequent_shingles(docs), percent)), scratch)
     lists = scratch.keep(_cold_lists(_postings(signed, "cold"), percent))
     opened = lists.where("token is not null").select("token", "key", "n", "at")
     opened = scratch.keep(opened.union(_postings(signed, "warm")).distinct())
@@ -297,24 +365,24 @@ def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(opened.select("key")).distinct()
     firsts = signed.where("n > 0").join(met, "key", "left_semi").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.keep(_sketches(docs, scratch.keep(firsts.where("doc_id is not null").select("doc_id", "key")), percent))
+    sets = scratch.keep(_sketches(docs, scratch.keep(firsts.where("doc_id is not null").select("doc_id", "key", "digest")), percent))
 
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     tested, links, rounds = None, None, 0
     while True:
         # lists that still hold several components
         named = opened.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        active = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        named = scratch.keep(named.join(active, "token", "left_semi"))
+        active = scratch.keep(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"))
+        named = scratch.keep(named.join(_small(active, ID_LIMIT), "token", "left_semi"))
         if not named.isEmpty():
             part = F.pmod(F.xxhash64("key", F.lit(rounds)), F.lit(PIVOTS**rounds))
             pivots = named.groupBy("token", part.alias("part")).agg(F.max(F.struct("weight", "key", "label", "n", "at")).alias("p"))
             pivots = scratch.keep(pivots.select("token", F.col("p.key").alias("pivot"), F.col("p.label").alias("other"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat")))
-            star = named.join(pivots, "token").where(F.col("label") != F.col("other"))
+            star = named.join(_small(pivots, ID_LIMIT // 4), "token").where(F.col("label") != F.col("other"))
             star = star.where(overlap_possible(F.col("n"), F.col("pn"), F.col("at"), F.col("pat"), percent))
             star = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
             pairs = star if pairs is None else pairs.union(star)
-            used = pivots.select("token", F.col("pivot").alias("key"))
+            used = _small(pivots.select("token", F.col("pivot").alias("key")), ID_LIMIT // 4)
             opened = named.select("token", "key", "weight", "n", "at").join(used, ["token", "key"], "left_anti")
         elif pairs is None:
             break
