@@ -222,6 +222,67 @@ def test_lm_counts_and_base(spark, monkeypatch):
     assert all(x["train_tokens"] == 0 and x["n_known"] == 0 and x["base_score"] == 0 and math.isfinite(x["score"]) for x in alone)
 
 
+def segmentations(word, edges):
+    """Every way to spell a marked word, as a list of (piece or None, weight); ``edges`` are weights of pieces."""
+    if not word:
+        yield []
+        return
+    steps = [(word[:k], edges[word[:k]]) for k in range(1, len(word) + 1) if word[:k] in edges]
+    steps.append((None, lm_score.UNKNOWN * 256.0 ** -len(word[0].encode())))
+    for piece, weight in steps:
+        for rest in segmentations(word[len(piece or "x") :], edges):
+            yield [(piece, weight), *rest]
+
+
+def brute_scores(rows, prior, most_classes):
+    """log10 probability of every text by listing all segmentations of all words in all classes."""
+    split = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    taught = [(lang, split(t)) for d, t, lang in rows if zlib.crc32(str(d).encode()) % 10]
+    order = sorted(collections.Counter(lang for lang, _ in taught).items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    named = [lang for lang, _ in order[:most_classes]]
+    groups = [[w for lang, w in taught if lang == x] for x in named] + [[w for lang, w in taught if lang not in named]]
+    models = []
+    for texts in (g for g in groups if g):
+        counts, uses = collections.Counter(w for t in texts for w in t), dict.fromkeys(prior, 0.01)
+        for word in counts:
+            ways = [(way, math.prod(x for _, x in way)) for way in segmentations("▁" + word, prior)]
+            total = sum(p for _, p in ways)
+            for way, p in ways:
+                for piece, _ in way:
+                    if piece is not None:
+                        uses[piece] += p / total
+        all_uses = sum(uses.values())
+        edges = {piece: u / all_uses * (1 - lm_score.UNKNOWN) for piece, u in uses.items()}
+        v, n = len(counts), sum(counts.values()) + len(texts)
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        models.append((counts, edges, v, n, min(max(once / max(once + 2 * twice, 1), 0.1), 0.95), len(texts)))
+    out = []
+    for _, text, _ in rows:
+        p = 0.0
+        for counts, edges, v, n, d, ends in models:
+            one = ends / len(taught) * ends / n
+            for word in split(text):
+                pieces = sum(math.prod(x for _, x in way) for way in segmentations("▁" + word, edges))
+                one *= (max(counts[word] - d, 0) + d * v * pieces) / n
+            p += one
+        out.append(math.log10(p))
+    return out
+
+
+@pytest.mark.parametrize("most_classes", [1, 2, 12])
+def test_lm_score_equals_all_segmentations(spark, tmp_path, monkeypatch, most_classes):
+    monkeypatch.setattr(lm_score, "HOT", 4)
+    weights = dict(zip(["▁", "▁a", "a", "b", "ab", "ba", "é", "▁ab"], np.random.default_rng(2).dirichlet(np.ones(8)).tolist()))
+    file = tmp_path / "small.vocab"
+    file.write_text("<unk>\t0\n" + "".join(f"{p}\t{math.log(w)!r}\n" for p, w in weights.items()), encoding="utf-8")
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(["ab", "AB", "aba", "bé", "b", "zb", f"a{'b' * (i % 3)}é"], k=r.randint(0, 5))), r.choice(["en", "en", "fr", "es", None])) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["score"] for x in lm_score.likelihoods(docs, str(file), most_classes).collect()}
+    for (d, _, _), want in zip(rows, brute_scores(rows, weights, most_classes)):
+        assert got[d] == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = lm_score.likelihoods(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

@@ -2,18 +2,21 @@
 
 The pieces of an existing vocabulary file and their scores span a lattice over
 each word (marked at its start); a forward recursion in log space sums all
-segmentations. The scores of the file are merge ranks, so they enter as a
-Zipf-like prior, log p = -log(200 + rank), and one expectation step over all
-training words turns them into probabilities, for each class of documents
-(training value of ``lang``) by itself. A known word is one more path through
-its lattice: with c occurrences among N tokens and V words of a class,
-
-    p(word) = (max(c - d, 0) + d V p_lattice(word)) / N,   p(end) = ends / N,
-
-and p(text) = sum over classes of share * product over tokens, so the model is
-a proper distribution over texts. Lattice sums are computed once for each
-distinct word of the corpus. Scores of the ``HOT`` most frequent words are
-broadcast; the other words of each document are joined by hash.
+segmentations. Scores that are log probabilities are taken as they are; merge
+ranks, which the file of the query has, enter as a Zipf-like prior,
+log p = -log(200 + rank). One expectation step over all training words turns
+them into probabilities, for each class of documents (training value of
+``lang``) by itself. A training word is a piece too, whose only edge goes from
+the start of its lattice to the end: with c occurrences among N tokens and V
+words of a class the pieces of the file share a weight of d V / N, and
+
+    p(word) = sum over segmentations = (max(c - d, 0) + d V p_pieces(word)) / N,
+
+    p(end) = ends / N and p(text) = sum over classes of share * product over tokens,
+
+so the model is a proper distribution over texts. Lattice sums are computed
+once for each distinct word of the corpus. Scores of the ``HOT`` most frequent
+words are broadcast; the other words of each document are joined by word.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .text import fold
 
 HELD_OUT = 10
 HOT = 400_000
-#: Training languages that get a class of their own, from the most frequent; the others share one.
+#: Training languages that get a class of their own, from the most frequent; the others share one (a parameter of ``likelihoods``).
 CLASSES = 12
 LONGEST = 16
 #: Mass of characters that no piece spells, spread evenly over the values of their bytes.
@@ -48,17 +51,27 @@ def default_vocabulary() -> str:
 
 
 def read_pieces(path: str) -> tuple[list[str], np.ndarray]:
-    """(pieces, log prior) of a sentencepiece file, without control, unknown and byte pieces."""
-    import sentencepiece
+    """(pieces, log prior) of a sentencepiece model, without control, unknown and byte pieces, or of a .vocab file of lines "piece TAB score".
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = [
-        (model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-    ]
-    found = [(p, s) for p, s in found if 0 < len(p) <= LONGEST and s > -1e8]
-    prior = -np.log(200.0 - np.array([s for _, s in found]))
-    return [p for p, _ in found], prior - np.log(np.exp(prior).sum())
+    Scores that are all whole numbers are ranks, others log probabilities.
+    """
+    if path.endswith(".vocab"):
+        with open(path, encoding="utf-8") as f:
+            found = [(p, float(x)) for p, x in (line.rstrip("\n").split("\t") for line in f)]
+        found = [(p, x) for p, x in found if not (p.startswith("<") and p.endswith(">"))]
+    else:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        found = [
+            (model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
+        ]
+    found = [(p, x) for p, x in found if 0 < len(p) <= LONGEST and x > -1e8]
+    scores = np.array([x for _, x in found])
+    prior = -np.log(200.0 - scores) if (scores == np.round(scores)).all() else scores
+    top = prior.max()
+    return [p for p, _ in found], prior - top - np.log(np.exp(prior - top).sum())
 
 
 def _points(word: str) -> np.ndarray:
@@ -220,6 +233,14 @@ class Lattice:
                 out[at] = self.forward(points, self.edges(points), scores)[:, -1]
         return out
 
+    def marginals(self, words: list[str], scores: np.ndarray, pieces: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Log probability of each word in each class over all segmentations.
+
+        ``pieces`` is the log weight of the file's pieces in a class, ``own``
+        the log weight of the edge that is the whole word, from start to end.
+        """
+        return np.logaddexp(pieces + self.log_sums(words, scores), own)
+
     def _long(self, points: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Forward sums for very long words, keeping the last LONGEST places only."""
         out = np.zeros((len(points), scores.shape[1]))
@@ -331,9 +352,12 @@ def _most_frequent(weighed: DataFrame) -> DataFrame:
     return weighed.where(level >= cut) if cut is not None else weighed.where("false")
 
 
-def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def likelihoods(docs: DataFrame, vocabulary: str | None = None, most_classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text, lang).
 
+    The ``most_classes`` most frequent values of lang, null being one, have a
+    class each (ties by name), and all others together are one class more; every
+    word of every training document counts in its class.
     Null and empty texts are the end token alone. Without training documents
     every count is 0 and the lattice alone scores. Rows that repeat an id are
     scored each; null ids are kept (their fold is that of ''); extra columns
@@ -345,7 +369,7 @@ def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
         (fold(F.col("doc_id"), HELD_OUT) == 0).alias("held_out"),
     )
-    ends = {r["lang"]: r["count"] for r in rows.where("not held_out").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()}
+    ends = {r["lang"]: r["count"] for r in rows.where("not held_out").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_classes).collect()}
     total_ends = rows.where("not held_out").count()
     langs = list(ends)
     ends = [ends[x] for x in langs]
@@ -372,7 +396,8 @@ def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     v = np.array([facts[f"v_{c}"] for c in names])
     o1, o2 = (np.array([facts[f"o{i}_{c}"] for c in names], float) for i in (1, 2))
     d = np.where(v > 0, np.clip(o1 / np.maximum(o1 + 2 * o2, 1), 0.1, 0.95), 0.0)
-    empty = v == 0  # a class without words: half its mass is the lattice, half the end
+    empty = v == 0  # a class without words: half its mass is the pieces, half the end
+    of_pieces = np.where(empty, np.log(0.5), np.log(np.maximum(d * v, 1e-300)) - np.log(np.maximum(n, 1)))
     scores = _piece_scores(table.where(known > 0), vocabulary, classes)
     shared = spark.sparkContext.broadcast(scores)
 
@@ -380,12 +405,10 @@ def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         pieces, _ = read_pieces(vocabulary)
         lattice, scores = Lattice(pieces), _with_never(shared.value)
         for batch in batches:
-            sums = lattice.log_sums(batch.column("word").to_pylist(), scores)
             c = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in names], axis=1)
             with np.errstate(divide="ignore"):
-                new = np.where(empty, np.log(0.5) + sums, np.log(np.maximum(d * v, 1e-300)) - np.log(np.maximum(n, 1)) + sums)
-                old = np.log(np.maximum(c - d, 0)) - np.log(np.maximum(n, 1))
-            logs = np.logaddexp(new, old) / math.log(10)
+                own = np.log(np.maximum(c - d, 0)) - np.log(np.maximum(n, 1))
+            logs = lattice.marginals(batch.column("word").to_pylist(), scores, of_pieces, own) / math.log(10)
             total = c.sum(axis=1)
             out = {"word": batch.column("word"), "c": pa.array(total), "base": pa.array(np.log10((total + 0.1) / base_total))}
             yield pa.RecordBatch.from_pydict(out | {f"s{k}": pa.array(np.ascontiguousarray(logs[:, k])) for k in range(classes)})
@@ -436,9 +459,9 @@ def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text")
     schema = f"key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, {doubles}, word string, tf int"
     parts = scratch.keep(keyed.mapInArrow(first, schema))
-    tail = parts.where("word is not null").select("key", F.xxhash64("word").alias("h"), "tf")
-    weights = weighed.select(F.xxhash64("word").alias("h"), (F.col("c") > 0).alias("known"), "base", *sums)
-    more = tail.join(weights, "h").groupBy("key").agg(
+    tail = parts.where("word is not null").select("key", "word", "tf")
+    weights = weighed.select("word", (F.col("c") > 0).alias("known"), "base", *sums)
+    more = tail.join(weights, "word").groupBy("key").agg(
         F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("m_known"), *[F.sum(F.col("tf") * F.col(x)).alias(f"m_{x}") for x in ("base", *sums)]
     )
     out = parts.where("word is null").drop("word", "tf").join(more, "key", "left")
@@ -450,7 +473,7 @@ def likelihoods(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     logs = F.array(*[both(s) + math.log10(max(share, 1e-300)) for s, share in zip(sums, shares)])
     out = out.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
     total = F.aggregate("__logs", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - F.col("__top")))
-    return out.select(
+    return scratch.finish(out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("m_known", F.lit(0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"), both("base").alias("base_score"), (F.col("__top") + F.log10(total)).alias("score"),
-    )
+    ))
