@@ -545,6 +545,87 @@ def test_language_id(spark):
     assert r["right"] > 0.98 and abs(r["score"] - r["right"]) < 0.02
 
 
+def test_language_vectors_equal_brute_force():
+    texts = ["The cat, the DOG", "le chat!", "ß é 日本 x", "a1b2"]
+    df = np.zeros(language_id.BUCKETS)
+    for text in texts:
+        df[np.unique(language_id.ngrams(text))] += 1
+    idf = language_id.inverse_frequency(df, len(texts))
+    for text in texts:
+        letters = re.sub(r"[^\w]|\d|_", " ", text.lower())
+        joined = re.sub(r" +", lambda m: " ", letters)
+        padded = f" {joined} "
+        points = language_id.ngrams(text)
+        # as many n-grams as the spaced text has, and equal ones in the same buckets
+        spaced = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+        if not joined.startswith(" ") and not joined.endswith(" "):
+            assert len(points) == len(spaced)
+            place = dict(zip(spaced, points.tolist()))
+            assert all(place[g] == p for g, p in zip(spaced, points.tolist()))
+            tf = collections.Counter(points.tolist())
+            want = {b: f * (math.log((1 + len(texts)) / (1 + df[b])) + 1) for b, f in tf.items()}
+            length = math.sqrt(sum(x * x for x in want.values()))
+            got = language_id._vector(points, idf)
+            assert {b: pytest.approx(x / length) for b, x in want.items()} == {int(b): got[b] for b in np.flatnonzero(got)}
+
+
+def test_ftrl_equals_the_published_steps():
+    """Each coordinate by itself, from the formulas of follow-the-regularised-leader with l1 and l2."""
+    r, classes = np.random.default_rng(2), 3
+    model = language_id.Ftrl(classes)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= language_id.L1:
+            return 0.0
+        return -(z[key] - math.copysign(language_id.L1, z[key])) / ((language_id.BETA + math.sqrt(n[key])) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(60):
+        at, label = np.sort(r.choice(12, 4, replace=False)), int(r.integers(classes))
+        x = r.normal(0, 1, 4)
+        model.learn(at, x, label)
+        w = {(i, k): weight((i, k)) for i in at.tolist() for k in range(classes)}
+        sums = [sum(x[j] * w[i, k] for j, i in enumerate(at.tolist())) for k in range(classes)]
+        total = sum(math.exp(s) for s in sums)
+        for k in range(classes):
+            error = math.exp(sums[k]) / total - (k == label)
+            for j, i in enumerate(at.tolist()):
+                g = error * x[j]
+                z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / language_id.ALPHA * w[i, k]
+                n[i, k] += g * g
+    got = model.weights()
+    assert all(got[i, k] == pytest.approx(weight((i, k)), abs=1e-12) for i in range(12) for k in range(classes))
+    assert (got[:12] == 0).any() and (got[:12] != 0).any()  # sparse
+
+
+def test_temperature_is_the_best(spark):
+    r = np.random.default_rng(4)
+    rows = [(np.array([int(k)]), np.array([1.0])) for k in r.integers(0, 3, 300)]
+    labels = [int(at[0]) if r.random() < 0.7 else int(r.integers(3)) for at, _ in rows]
+    weights, temperature = language_id.fit(rows, labels, 3)
+    held = [(weights[at[0]] + weights[language_id.BUCKETS], y) for i, ((at, _), y) in enumerate(zip(rows, labels)) if i % 5 == 4]
+    loss = lambda t: -sum(math.log(math.exp(z[y] / t) / sum(math.exp(v / t) for v in z)) for z, y in held)
+    assert loss(temperature) <= min(loss(t) for t in np.exp(np.linspace(-2.5, 2.5, 200))) + 1e-6
+
+
+def test_language_predictions_equal_brute_force(spark):
+    """Every score is the calibrated softmax of the trained weights over the text's own vector."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    languages, idf, weights, temperature = language_id.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for row in language_id.identified(docs).collect():
+        counts = collections.Counter(language_id.ngrams(texts[row["doc_id"]]).tolist())
+        assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 4 == 2)
+        if not counts:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        at = np.array(list(counts))
+        x = np.array(list(counts.values())) * idf[at]
+        z = (x / math.sqrt((x * x).sum()) @ weights[at] + weights[language_id.BUCKETS]) / temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert row["score"] == pytest.approx(p.max(), abs=1e-9) and row["lang_pred"] == languages[int(p.argmax())]
+
+
 def test_language_id_edges(spark):
     rows = [(i, "the cat and dog" if i % 2 else "le chat et le chien", "en" if i % 2 else "fr") for i in range(60)]
     rows += [(100, None, "en"), (101, "", None), (102, "123 !?", "fr"), (None, "the dog", None), (1, "the cat and dog", "en"), (103, "𝐱 long " * 5000, None)]

@@ -212,9 +212,12 @@ class _Memory(dict):
     """chunk (or special id) -> whatever ``make`` gives for its ids.
 
     Holds at most twice ``limit`` chunks: when full, the newer half becomes the
-    older, from which chunks in use come back.
+    older, from which chunks in use come back. Chunks over ``LONGEST``
+    characters are not kept, so that the memory is bounded in bytes too.
     """
 
+    LONGEST = 256
+
     def __init__(self, bpe: Bpe, make, limit: int = 250_000):
         super().__init__()
         self.bpe, self.make, self.limit, self.old = bpe, make, limit, {}
@@ -223,6 +226,8 @@ class _Memory(dict):
         value = self.old.get(part)
         if value is None:
             value = self.make([part] if isinstance(part, int) else self.bpe.chunk(part))
+            if not isinstance(part, int) and len(part) > self.LONGEST:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import contract
 from .scratch import Scratch
-from .text import WordHashes, mix, shingle_hashes
+from .text import WordHashes, give_back, mix, shingle_hashes, slices
 
 WIDTH = 5
 PERCENT = 75
@@ -49,7 +49,7 @@ HOT_LIMIT = 500_000
 #: Ids up to this many are broadcast (8 bytes each), and pivots up to a quarter; beyond, Spark joins by shuffling.
 ID_LIMIT = 2_000_000
 #: Posting rows, and candidate pairs, that a task holds at once when it groups lists.
-BLOCK = 400_000
+BLOCK = 200_000
 #: Seeds of the further orders.
 ORDERS = (0x51ED270B, 0xB5297A4D)
 
@@ -129,7 +129,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     def tokens(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             for text in _binary(batch, "text"):
                 yield pa.RecordBatch.from_pydict({"token": shingle_set(text, hashes).view(np.int64)})
 
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> Data
 
     def sign(batches):
         hashes, hot = WordHashes(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             digests, keys, sizes, cold, warm = [], [], [], [], []
             for text in _binary(batch, "text"):
                 s = shingle_set(text, hashes)
@@ -174,7 +174,7 @@ def _postings(signed: DataFrame, column: str) -> DataFrame:
 
     def explode(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches):
             tokens, keys, sizes, places = [], [], [], []
             rows = zip(*(batch.column(c).to_pylist() for c in ("key", "n", "skip", column)))
             for key, n, skipped, blob in rows:
@@ -261,6 +261,7 @@ def _cold_lists(postings: DataFrame, percent: int) -> DataFrame:
     """
 
     def group(batches):
+        give_back()
         lists, held, size = _Lists(percent), [], 0
         none = [np.zeros(0, np.int64)] * 4
         for batch in batches:
@@ -301,7 +302,7 @@ def _sketches(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
 
     def build(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, blobs, same = [], [], []
             for digest, text in zip(batch.column("digest").to_pylist(), _binary(batch, "text")):
                 s = shingle_set(text, hashes)
@@ -330,7 +331,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return np.split(np.frombuffer(blob, np.uint32), len(ORDERS))
 
     def screen(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("a_n", "a_sketch", "b_n", "b_sketch")))
             ok = [may_link(n, halves(x), m, halves(y), percent) for n, x, m, y in rows]
             kept = batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -339,7 +340,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def verify(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(_binary(batch, "a_text"), _binary(batch, "b_text"))
             ok = [similar(shingle_set(x, hashes), shingle_set(y, hashes), percent) for x, y in rows]
             kept = batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -417,8 +418,10 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = base.join(labels.withColumnRenamed("node", "key"), "key", "left")
     # a class without links to others keeps its whole digest as name
     name = F.when(F.col("label").isNull(), F.col("digest")).otherwise(F.col("label").cast("string").cast("binary"))
-    named = named.withColumn("group", F.when(F.col("n") > 0, name))
-    smallest = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("first"))
+    named = named.select("doc_id", "n", F.when(F.col("n") > 0, name).alias("group"))
+    # both sides of the join are written, so that adaptive execution may split the rows of a hot group
+    named = scratch.keep(named)
+    smallest = scratch.keep(named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("first")))
     first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id"))
     return scratch.finish(named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id")))
 

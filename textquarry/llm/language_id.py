@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold
+from .text import fold, slices
 
 BUCKETS = 1 << 15
 SAMPLE = 5_000
@@ -186,7 +186,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
     def predict(batches):
         languages, idf, weights, temperature = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], []
             for text in batch.column("text").to_pylist():
                 grams = ngrams(text)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import RunHashes, WordHashes
+from .text import RunHashes, WordHashes, slices
 
 LENGTH = 50
 GRAM = 20
@@ -59,7 +59,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
 
     def find(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, seed, span, lo, hi = [], [], [], [], [], []
             for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _texts(batch)):
                 words = _words(text)
@@ -88,7 +88,7 @@ def _windows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
 
     def open_up(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, seed, run, lo = [], [], [], [], []
             for doc_id, row, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _texts(batch), batch.column("spans").to_pylist()):
                 words = _words(text)
@@ -174,7 +174,7 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text, ranges in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("__ranges").to_pylist()):
                 words = _words(text)
@@ -197,7 +197,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def digest(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, ranges in zip(_texts(batch), batch.column("__ranges").to_pylist()):
                 words = _words(text)
@@ -230,7 +230,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         import re
 
         word = re.compile(rb"[^\x20\x09-\x0D]+")
-        for batch in batches:
+        for batch in slices(batches):
             texts = _texts(batch)
             for i, ranges in enumerate(batch.column("__ranges").to_pylist()):
                 if ranges:

@@ -6,7 +6,10 @@ what ``bytes.split()`` cuts, so texts are handled as UTF-8 bytes throughout.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +23,23 @@ _MULTIPLIERS = np.array(
 )
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker goes from task to task, and what one has used the next may not need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not this C library
+        pass
+
+
+def slices(batches, rows: int = 500):
+    """Record batches of at most so many rows, so that what a function makes of one at a time stays small."""
+    give_back()
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: as the text '')."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
@@ -28,7 +48,7 @@ def fold(doc_id: Column, modulus: int) -> Column:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered for at most ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

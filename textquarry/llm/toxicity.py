@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import fold
+from .text import fold, slices
 
 POSITIVES, NEGATIVES = 4_000, 10_000
 FEATURES = 4_096
@@ -200,7 +200,7 @@ def choose(rows: DataFrame, limit: int = FEATURES) -> np.ndarray:
     """The features (sorted hashes) of ``rows`` (toxic, text) with the largest chi-square between the classes."""
 
     def features(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 found = text_features(text_words(text)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"feature": found, "toxic": np.full(len(found), toxic, np.int32)})
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     chosen = choose(rows)
 
     def placed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             mine, less, more = [], [], []
             for text in batch.column("text").to_pylist():
                 words = text_words(text)
@@ -255,7 +255,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Data
     def run(batches):
         known, bias = shared.value
         memory: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("__text").to_pylist():
                 hits = set()
