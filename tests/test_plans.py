@@ -34,7 +34,7 @@ def test_entry(spark):
 def test_lookup_of_few_columns(spark):
     """A search reads only the columns it needs."""
     plan = plans.queries()["term_df"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "ReadSchema: struct<text:string>" in plan
 
 
 def test_batch_passages_equal_brute_force(spark, tmp_path):

@@ -94,5 +94,40 @@ def test_stream(spark, tmp_path):
     rows = ingest.current(spark.read.parquet(seg))
     assert sorted(r["doc_id"] for r in phrase(rows, "apples").collect()) == ["1"]
     assert sorted(r["doc_id"] for r in phrase(rows, "pear").collect()) == ["2", "3"]
+    # a page whose new text has no terms leaves the index
+    spark.createDataFrame([("1", "u1", "<p> </p>")], schema).coalesce(1).write.mode("append").parquet(src)
+    ingest.index_stream(ingest.page_stream(spark, src, shape), seg, str(tmp_path / "ck")).awaitTermination()
+    rows = ingest.current(spark.read.parquet(seg))
+    assert phrase(rows, "apples").count() == 0 and rows.count() == 4 and rows.where("term is null").count() == 0
     ingest.compact(spark, seg, str(tmp_path / "one"))
     assert spark.read.parquet(str(tmp_path / "one")).count() == rows.count()
+
+
+def test_no_local_folder_on_a_cluster():
+    """Without a shared folder a cluster session is refused, and a local one has a folder of its own."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from textquarry.sources.scratch import shared_folder
+
+    def session(master, folder=None):
+        none = SimpleNamespace(get=lambda *_: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: none))
+
+    for master in ("yarn", "spark://host:7077", "k8s://https://host", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+    assert shared_folder(session("yarn", "hdfs://host/shared/")) == "hdfs://host/shared"
+    assert shared_folder(session("local[4]")).startswith("file:///")
+
+
+def test_written_tables_go_when_they_are_not_needed(spark):
+    from textquarry.sources.scratch import Scratch
+
+    scratch = Scratch(spark, "t")
+    one = scratch.keep(spark.range(3))
+    two = scratch.finish(one.selectExpr("id + 1 as id"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = lambda n: (lambda p: p.getFileSystem(conf).exists(p))(jvm.org.apache.hadoop.fs.Path(f"{scratch.root}/{n}"))
+    assert sorted(r["id"] for r in two.collect()) == [1, 2, 3] and not there(1) and there(2)

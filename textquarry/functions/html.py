@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
@@ -10,34 +9,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tree import HEADINGS, Element, build
+
 # Parts of attribute values that mark an element as boilerplate.
 BOILERPLATE = ("nav", "menu", "sidebar", "footer", "header", "cookie", "banner", "promo", "ads", "badge")
 # Elements before which a line begins, and elements without searchable text.
 LINE_ELEMENTS = frozenset("p div section article li ul ol header footer".split())
 SILENT = frozenset("script style noscript".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # File endings that are not followed.
 DENIED = (
     ".png", ".jpg", ".jpeg", ".gif", ".svg", ".bmp", ".webp", ".tiff", ".mov", ".mp3", ".mp4", ".wav", ".ogg", ".pdf",
     ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".tar", ".gz", ".m", ".bib", ".txt",
 )
-_EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ENDS_PARAGRAPH = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
-    "h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
-)
-#: Opening the key ends an open element of the value, looked for up to a list or table.
-_ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "a": ("a",)}
-_SCOPE = frozenset("html body ul ol dl table tr select div section article".split())
-
 PAGE_TEXT = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("body", T.StringType()),
     T.StructField("anchors", T.ArrayType(T.StringType())), T.StructField("first_title", T.StringType()), T.StructField("hrefs", T.ArrayType(T.StringType())),
 ])
 
 
-class PageReader(HTMLParser):
-    """Walks a page with a stack of open elements.
+class PageReader:
+    """Walks the tree of a page in its order.
 
     Where a run of text goes depends on its immediate parent: titles, headings
     and links have places of their own, all else is body. Elements under a
@@ -45,32 +36,11 @@ class PageReader(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # (name, silenced)
-        self.pending: list[str] = []
         self.title, self.headings, self.body, self.anchors, self.hrefs = "", [], "", [], []
         self.first_title: str | None = None
-        self.in_title = False
-
-    def _silenced(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
-
-    def _close(self, depth: int) -> None:
-        if any(name == "title" for name, _ in self.open[depth:]):
-            self.in_title = False
-        del self.open[depth:]
-
-    def _text(self) -> None:
-        """Places the text read since the last tag or comment."""
-        if not self.pending:
-            return
-        raw = "".join(self.pending)
-        self.pending.clear()
-        if self.in_title and self.first_title is not None:
-            self.first_title += raw
-        if self._silenced():
-            return
-        text, parent = raw.strip(), self.open[-1][0] if self.open else ""
+
+    def _text(self, raw: str, parent: str) -> None:
+        text = raw.strip()
         if parent == "title":
             self.title = f"{self.title} {text}" if self.title and text else self.title + text
         elif parent in HEADINGS or parent == "a":
@@ -82,56 +52,35 @@ class PageReader(HTMLParser):
                 self.body += " "
             self.body += text
 
-    def handle_data(self, data):
-        self.pending.append(data)
-
-    def handle_comment(self, data):
-        self._text()
-
-    def handle_decl(self, decl):
-        self._text()
-
-    def handle_starttag(self, tag, attrs):
-        self._text()
-        like = _ENDS_LIKE.get(tag, ())
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name in like or (name == "p" and tag in _ENDS_PARAGRAPH):
-                self._close(depth)
-                break
-            if name in _SCOPE and not (tag == "a" and name not in ("table", "html")):
-                break
-        values = [v.lower() for _, v in attrs if v]
-        silenced = self._silenced() or tag in SILENT or any(mark in v for v in values for mark in BOILERPLATE)
-        if tag == "a":
-            href = next((v for k, v in attrs if k == "href" and v is not None), None)
-            if href is not None:
-                self.hrefs.append(href)
+    def _element(self, e: Element, silenced: bool) -> bool:
+        """Takes in an element; returns whether it and all below is silent."""
+        silenced = silenced or e.name in SILENT or any(mark in v.lower() for v in e.attrs.values() for mark in BOILERPLATE)
+        if e.name == "a" and "href" in e.attrs:
+            self.hrefs.append(e.attrs["href"])
+        if e.name == "title" and self.first_title is None:
+            self.first_title = "".join(c for c in e.children if isinstance(c, str))
         if not silenced:
-            if tag in HEADINGS:
+            if e.name in HEADINGS:
                 self.headings.append("")
-            elif tag == "a":
+            elif e.name == "a":
                 self.anchors.append("")
-            elif tag in LINE_ELEMENTS and not self.body.endswith("\n"):
+            elif e.name in LINE_ELEMENTS and not self.body.endswith("\n"):
                 self.body += "\n"
-        if tag == "title" and self.first_title is None:
-            self.first_title, self.in_title = "", True
-        if tag not in _EMPTY:
-            self.open.append((tag, silenced))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
-
-    def handle_endtag(self, tag):
-        self._text()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._close(depth)
-                break
+        return silenced
+
+    def walk(self, root: Element) -> None:
+        todo = [(root, self._element(root, False), iter(root.children))]
+        while todo:
+            e, silenced, children = todo[-1]
+            child = next(children, None)
+            if child is None:
+                todo.pop()
+            elif isinstance(child, Element):
+                todo.append((child, self._element(child, silenced), iter(child.children)))
+            elif isinstance(child, str) and not silenced:
+                self._text(child, e.name)
 
     def result(self) -> dict:
-        self.close()
-        self._text()
         return {"title": self.title, "headings": self.headings, "body": self.body, "anchors": self.anchors, "first_title": (self.first_title or "").strip(), "hrefs": self.hrefs}
 
 
@@ -139,7 +88,7 @@ def read_page(page: str | None) -> dict | None:
     if page is None:
         return None
     reader = PageReader()
-    reader.feed(page)
+    reader.walk(build(page))
     return reader.result()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import DENIED, outgoing_links, page_text
+from ..sources.scratch import Scratch
 
 MAX_BYTES = 15 * 1024 * 1024
 ATTEMPTS = 4
@@ -52,11 +53,10 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int, keep: Callable[
     """url, depth, is_seed of the pages reached from ``seeds``, level by level, each at its smallest depth.
 
     ``pages`` has url and outgoing_links. ``keep`` materialises a level so that
-    the plan does not grow with the depth (default: a checkpoint where the
-    session has a folder for it, else caching).
+    the plan does not grow with the depth (default: written tables).
     """
     spark = pages.sparkSession
-    keep = keep or _keeper(spark)
+    keep = keep or Scratch(spark, "traverse").keep
     links = pages.select("url", "outgoing_links")
     frontier = keep(spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string"))
     visited = frontier.select("url", F.lit(0).alias("depth"), F.lit(True).alias("is_seed"))
@@ -69,12 +69,6 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int, keep: Callable[
     return visited.join(links.select("url"), "url", "left_semi")
 
 
-def _keeper(spark):
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return lambda df: df.checkpoint()
-    return lambda df: df.persist()
-
-
 class NotHtml(Exception):
     """The answer is no HTML."""
 
@@ -83,8 +77,12 @@ class DeniedEnding(Exception):
     """The address has an ending that is not fetched."""
 
 
-def fetch(url: str, timeout: float = 30.0) -> str:
-    """One page by HTTP. The status is not looked at, only the kind of content."""
+class TooLarge(Exception):
+    """The answer has more bytes than a page may have."""
+
+
+def fetch(url: str, timeout: float = 30.0, limit: int = MAX_BYTES) -> str:
+    """One page by HTTP. The status is not looked at, only the kind of content; of a body over the limit no more is read."""
     if url.endswith(DENIED):
         raise DeniedEnding(url)
     try:
@@ -95,7 +93,10 @@ def fetch(url: str, timeout: float = 30.0) -> str:
         kind = answer.headers.get("content-type")
         if kind is not None and "html" not in kind:
             raise NotHtml(url)
-        return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+        body = answer.read(limit + 1)
+        if len(body) > limit:
+            raise TooLarge(url)
+        return body.decode(answer.headers.get_content_charset() or "utf-8", "replace")
 
 
 def fetch_retrying(url: str, get: Callable[[str], str] = fetch, attempts: int = ATTEMPTS, back_off_ms: int = BACK_OFF_MS) -> tuple[str | None, str]:
@@ -107,6 +108,8 @@ def fetch_retrying(url: str, get: Callable[[str], str] = fetch, attempts: int =
             return None, "not_html"
         except DeniedEnding:
             return None, "denied_ending"
+        except TooLarge:
+            return None, "too_large"
         except Exception:  # noqa: BLE001  any failure of the network
             if attempt < attempts:
                 time.sleep(attempt * back_off_ms / 1000)
@@ -126,16 +129,34 @@ def fetched(frontier: DataFrame, concurrent: int = 150, get: Callable[[str], str
     return frontier.select("url").repartition(concurrent).mapInPandas(run, "url string, html string, status string")
 
 
-def crawl(spark, seeds: list[str], max_depth: int = 0, concurrent: int = 150, get: Callable[[str], str] = fetch, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """url, html, title, outgoing_links, depth, is_seed of fetched pages, one BFS level after the other."""
-    keep = keep or _keeper(spark)
-    frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string")
+def crawl(
+    spark, seeds: list[str], max_depth: int = 0, concurrent: int = 150, get: Callable[[str], str] = fetch, keep: Callable[[DataFrame], DataFrame] | None = None,
+    frontier_size: int | None = None, store: Callable[[DataFrame], None] | None = None, fetch_all: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """url, html, title, outgoing_links, depth, is_seed of fetched pages, one BFS level after the other.
+
+    A level is fetched at once, or in batches of about ``frontier_size``
+    addresses. ``keep`` (default: written tables) materialises what was
+    fetched, so that nothing is fetched twice; ``store`` gets every batch
+    before the next begins, so that a crawl that fails has stored what it had.
+    ``fetch_all`` may take the place of ``fetched`` with its defaults.
+    """
+    fetch_all = fetch_all or (lambda rows: fetched(rows, concurrent, get))
+    keep = keep or Scratch(spark, "crawl").keep
+    frontier = keep(spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string"))
     visited, out = frontier, None
     for depth in range(max_depth + 1):
-        got = fetched(frontier, concurrent, get).where("status = 'ok'").where(fits(F.col("url"), F.col("html")))
-        got = keep(parsed(got.drop("status")).withColumns({"depth": F.lit(depth), "is_seed": F.lit(depth == 0)}))
-        out = got if out is None else out.unionByName(got)
-        frontier = keep(got.select(F.explode("outgoing_links").alias("url")).distinct().join(visited, "url", "left_anti"))
+        batches = 1 if not frontier_size else max(1, -(-frontier.count() // frontier_size))
+        level = None
+        for i in range(batches):
+            part = frontier.where(F.pmod(F.xxhash64("url"), F.lit(batches)) == i) if batches > 1 else frontier
+            got = fetch_all(part).where("status = 'ok'").where(fits(F.col("url"), F.col("html")))
+            got = keep(parsed(got.drop("status")).withColumns({"depth": F.lit(depth), "is_seed": F.lit(depth == 0)}))
+            if store:
+                store(got)
+            level = got if level is None else level.unionByName(got)
+        out = level if out is None else out.unionByName(level)
+        frontier = keep(level.select(F.explode("outgoing_links").alias("url")).distinct().join(visited, "url", "left_anti"))
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)

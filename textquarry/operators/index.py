@@ -12,16 +12,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import DEFAULT, Analyzer, tokens
+from ..sources.scratch import Scratch
 
 #: Document ids in a bucket.
 CAPACITY = 100_000
-#: Ranges of ids in which a hot term is numbered in parallel.
-RANGES = 64
+#: Ranges of ids in which a hot term is numbered in parallel, and the rows that make a term hot.
+RANGES, HOT = 64, 1_000_000
+#: Ids of a hot term that are sampled to cut the ranges; offsets (24 bytes each) up to this many are broadcast.
+SAMPLE, OFFSET_LIMIT = 10_000, 500_000
 
 
-def postings(docs: DataFrame, doc_id: str, text: str, analyzer: Analyzer = DEFAULT) -> DataFrame:
-    """term, doc_id, positions (ascending), tf for every row of ``docs``."""
-    return invert(tokens(docs, doc_id, text, analyzer))
+def postings(docs: DataFrame, doc_id: str, text: str, analyzer: Analyzer = DEFAULT, unique: bool = False) -> DataFrame:
+    """term, doc_id, positions (ascending), tf for every row of ``docs``.
+
+    Where ids are ``unique`` to their rows, a row's terms are grouped inside
+    the row and nothing is shuffled.
+    """
+    if not unique:
+        return invert(tokens(docs, doc_id, text, analyzer))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(grouped(analyzer.analyze(F.col(text)))).alias("g"))
+    return rows.select("g.term", "doc_id", "g.positions", F.size("g.positions").cast("long").alias("tf"))
+
+
+def grouped(terms: Column) -> Column:
+    """Array of (term, positions) of an array of terms: sorted once, then cut where the term changes."""
+    pairs = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def cut(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+
+        def groups(b: Column) -> Column:
+            def group(start: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(b, k + 1), F.size(s))
+                return F.struct(F.get(s, start)["term"].alias("term"), F.transform(F.slice(s, start + 1, end - start), lambda x: x["pos"]).alias("positions"))
+
+            return F.transform(b, group)
+
+        return F.flatten(F.transform(F.array(starts), groups))
+
+    # a lambda's argument is computed once for a row
+    return F.flatten(F.transform(F.filter(F.array(pairs), lambda s: F.size(s) > 0), cut))
 
 
 def invert(rows: DataFrame) -> DataFrame:
@@ -44,26 +75,38 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("document_frequency"), F.sum("tf").alias("n_positions"))
 
 
-def _numbered(index: DataFrame, offset: Column | None = None) -> DataFrame:
+def _numbered(index: DataFrame) -> DataFrame:
     """``index`` with ``__n``, the place of the document among those of its term, from 0.
 
-    Numeric ids are cut into ranges at their quantiles; a range of a term is
-    numbered by itself and starts after the rows of the ranges before it, so a
-    term in a third of all documents is still dealt over RANGES tasks.
+    The rows are written once. The ids of a hot term are cut into ranges; a
+    range is numbered by itself and starts after the rows of the ranges before
+    it, so a term in a third of all documents is dealt over RANGES tasks.
     """
-    kind = dict(index.dtypes)["doc_id"]
-    if kind in ("bigint", "int"):
-        bounds = index.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-        part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    else:
-        part = F.lit(0)
-    rows = index.withColumn("__part", part.cast("int"))
-    counts = rows.groupBy("term", "__part").agg(F.count("*").alias("__rows"))
+    scratch = Scratch(index.sparkSession, "numbered")
+    rows = scratch.keep(index)
+    hot = scratch.keep(rows.groupBy("term").agg(F.count("*").alias("c")).where(F.col("c") >= HOT))
+    if hot.isEmpty():
+        scratch.drop(2)
+        place = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1
+        return rows.withColumn("__n", place)
+    # a term has at least HOT rows, so there are few of them
+    hot = hot.select(F.col("term").alias("__hot"))
+    rows = rows.join(F.broadcast(hot) if hot.count() <= OFFSET_LIMIT else hot, F.col("term") == F.col("__hot"), "left")
+    ids = rows.where("__hot is not null").select("doc_id")
+    share = min(1.0, SAMPLE / max(ids.count(), 1))
+    found = sorted(r["doc_id"] for r in ids.where(F.rand(11) < share).limit(4 * SAMPLE).collect())
+    bounds = sorted({found[len(found) * i // RANGES] for i in range(1, RANGES)}) if found else []
+    kind = index.schema["doc_id"].dataType
+    cuts = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
+    part = F.when(F.col("__hot").isNotNull(), F.size(F.filter(cuts, lambda b: b < F.col("doc_id")))).otherwise(0)
+    rows = rows.withColumn("__part", part)
+    counts = rows.where("__hot is not null").groupBy("term", "__part").agg(F.count("*").alias("__rows"))
     before = F.sum("__rows").over(Window.partitionBy("term").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("term", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    counts = scratch.keep(counts.select(F.col("term").alias("__of"), F.col("__part").alias("__in"), F.coalesce(before, F.lit(0)).alias("__before")))
+    counts = F.broadcast(counts) if counts.count() <= OFFSET_LIMIT else counts
     inside = F.row_number().over(Window.partitionBy("term", "__part").orderBy("doc_id")) - 1
-    out = rows.join(counts, ["term", "__part"]).withColumn("__n", F.col("__before") + inside)
-    return out.drop("__part", "__before")
+    numbered = rows.withColumn("__n", inside).join(counts, (F.col("term") == F.col("__of")) & (F.col("__part") == F.col("__in")), "left")
+    return numbered.select(*[F.col(c) for c in index.columns], (F.coalesce("__before", F.lit(0)) + F.col("__n")).alias("__n"))
 
 
 def assign_buckets(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -105,9 +148,14 @@ def append(existing: DataFrame, new: DataFrame, capacity: int = CAPACITY) -> Dat
     return existing.select("term", "doc_id", "positions", "tf", "bucket").unionByName(fresh.select("term", "doc_id", "positions", "tf", "bucket"))
 
 
-def replace(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Postings in which the documents of ``new`` have only their new rows."""
-    old = existing.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+def replace(existing: DataFrame, new: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Postings in which the documents of ``ids`` (doc_id) have only their rows of ``new``.
+
+    ``ids`` are all documents that were read again. Without them those of
+    ``new`` are taken, which misses documents whose new text has no terms.
+    """
+    ids = (new if ids is None else ids).select("doc_id").distinct()
+    old = existing.join(ids, "doc_id", "left_anti")
     return old.select("term", "doc_id", "positions", "tf").unionByName(new.select("term", "doc_id", "positions", "tf"))
 
 

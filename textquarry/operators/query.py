@@ -21,10 +21,21 @@ def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def positional_intersect(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """doc_id, position1, position2: the pairs with 0 < |position1 - position2| <= k in common documents."""
-    a = left.select("doc_id", F.explode("positions").alias("position1"))
-    b = right.select("doc_id", F.explode("positions").alias("position2"))
-    return a.join(b, "doc_id").where(F.abs(F.col("position1") - F.col("position2")).between(1, k))
+    """doc_id, position1, position2: the pairs with 0 < |position1 - position2| <= k in common documents.
+
+    The position arrays of a document meet once for each distance, by hashing,
+    so a document costs k times its positions, not their product.
+    """
+    a = left.select("doc_id", F.col("positions").alias("__a"))
+    b = right.select("doc_id", F.col("positions").alias("__b"))
+    steps = F.filter(F.sequence(F.lit(-k), F.lit(k)), lambda d: d != 0)
+
+    def at_distance(d: Column) -> Column:
+        met = F.array_intersect(F.transform("__a", lambda x: x + d), F.col("__b"))
+        return F.transform(met, lambda y: F.struct((y - d).alias("position1"), y.alias("position2")))
+
+    pairs = a.join(b, "doc_id").select("doc_id", F.explode(F.flatten(F.transform(steps, at_distance))).alias("p"))
+    return pairs.select("doc_id", "p.position1", "p.position2")
 
 
 def all_terms_present(index: DataFrame, terms: list[str]) -> DataFrame:

@@ -65,10 +65,20 @@ class Answer:
         self.rows, self.query, self.highlight = rows, query, highlight_terms(query)
         self._started = started
 
-    def collect(self) -> dict:
-        rows = [r.asDict() for r in self.rows.orderBy("id").collect()]
+    def collect(self, limit: int | None = None, after: str | None = None) -> dict:
+        """The results in id order: all, or ``limit`` of them with ids over ``after``.
+
+        ``total_results`` counts all results; where more follow, ``next`` is the
+        id to go on after. With a limit the driver never holds more rows.
+        """
+        rows = self.rows if after is None else self.rows.where(F.col("id") > F.lit(after))
+        found = [r.asDict() for r in (rows.orderBy("id") if limit is None else rows.orderBy("id").limit(limit + 1)).collect()]
+        more = limit is not None and len(found) > limit
+        shown = found[:limit] if more else found
+        total = len(shown) if after is None and not more else self.rows.count()
         taken = int((time.time() - self._started) * 1000)
-        return {"query": self.query, "results": rows, "total_results": len(rows), "highlight_terms": self.highlight, "processing_time_ms": taken}
+        out = {"query": self.query, "results": shown, "total_results": total, "highlighted_terms": self.highlight, "processing_time_ms": taken}
+        return out | ({"next": shown[-1]["id"] if shown else after} if more else {})
 
 
 def search(pages: DataFrame, index: DataFrame, query: str, analyzer: Analyzer = DEFAULT, strict: bool = False) -> Answer:

@@ -6,19 +6,21 @@ and counts are 64-bit integers, so that both engines return the same columns.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analysis
 from ..functions.analysis import STOP_WORDS, UNSTEMMED, Analyzer
 from ..functions.html import DENIED, outgoing_links, page_text
+from ..functions.porter import stem
 from ..operators import crawl, index, query, search
 from ..sources import store
+from ..sources.scratch import Scratch
+from ..sources.segments import Store
 from ..streaming import ingest
+from .equivalents import page_body, stems
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +53,12 @@ def _terms(spark: SparkSession, sf_dir: str, analyzer: Analyzer = UNSTEMMED) ->
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(table(spark, sf_dir, "documents"), "doc_id", "text", UNSTEMMED)
+    return index.postings(table(spark, sf_dir, "documents"), "doc_id", "text", UNSTEMMED, unique=True)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings as a written table, for queries that read them more than once."""
+    return Scratch(spark, "postings").keep(_postings(spark, sf_dir))
 
 
 # --- DuckDB building blocks -------------------------------------------------------------------------------------------
@@ -69,6 +76,9 @@ _STAGES = {
 _EXPLODED = "select doc_id, cast(generate_subscripts(l, 1) - 1 as bigint) pos, unnest(l) term from "
 _T = ", ".join(_STAGES.values()) + f", t as ({_EXPLODED} s)"
 _POST = f"{_T}, post as (select term, doc_id, count(*) tf, string_agg(cast(pos as varchar), ',' order by pos) positions_csv from t group by all)"
+_STEMMED = f"{_T}, {stems('t')}, ts as (select doc_id, pos, stem term from t join stems using (term))"
+_POST_STEMMED = f"{_STEMMED}, post as (select term, doc_id, count(*) tf, string_agg(cast(pos as varchar), ',' order by pos) positions_csv from ts group by all)"
+_PAGES = f"from (select page_id doc_id, {page_body()} as text from pages)"
 _BUCKETED = f"{_POST}, b as (select *, cast((row_number() over (partition by term order by doc_id) - 1) // {CAPACITY} as int) bucket from post)"
 
 
@@ -95,7 +105,7 @@ for _i, _name in enumerate(_STAGES):
 _query("analyzed_tokens_nostem", _with(_T, "select * from t"))(lambda spark, sf_dir: _terms(spark, sf_dir))
 
 
-@_query("analyzed_tokens_stemmed")
+@_query("analyzed_tokens_stemmed", _with(_STEMMED, "select * from ts"))
 def analyzed_tokens_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir, analysis.PLAIN)
 
@@ -128,9 +138,9 @@ def postings_nostem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv(_postings(spark, sf_dir))
 
 
-@_query("postings_stemmed")
+@_query("postings_stemmed", _with(_POST_STEMMED, "select * from post"))
 def postings_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _csv(index.postings(table(spark, sf_dir, "documents"), "doc_id", "text", analysis.PLAIN))
+    return _csv(index.postings(table(spark, sf_dir, "documents"), "doc_id", "text", analysis.PLAIN, unique=True))
 
 
 @_query("term_df", _with(_T, "select term, count(distinct doc_id) document_frequency, count(*) n_positions from t group by term"))
@@ -174,8 +184,8 @@ def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = docs.agg(F.expr("percentile_disc(0.9) within group (order by doc_id)").cast("long").alias("cut")).first()["cut"]
-    made = lambda part: index.postings(part, "doc_id", "text", UNSTEMMED)
-    old = index.assign_buckets(made(docs.where(F.col("doc_id") <= cut)), CAPACITY)
+    made = lambda part: index.postings(part, "doc_id", "text", UNSTEMMED, unique=True)
+    old = Scratch(spark, "append").keep(index.assign_buckets(made(docs.where(F.col("doc_id") <= cut)), CAPACITY))
     return index.append(old, made(docs.where(F.col("doc_id") > cut)), CAPACITY).select("term", "doc_id", "bucket")
 
 
@@ -184,19 +194,13 @@ def reindex_replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents crawled again: their old rows go."""
     docs = table(spark, sf_dir, "documents")
     again = docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" appended words")))
-    return _csv(index.replace(_postings(spark, sf_dir), index.postings(again, "doc_id", "text", UNSTEMMED)))
-
-
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors share, or a local one where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/textquarry-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
+    return _csv(index.replace(_postings(spark, sf_dir), index.postings(again, "doc_id", "text", UNSTEMMED, unique=True), again.select("doc_id")))
 
 
 @_query("stream_index", _with(_POST, "select * from post"))
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same postings from a stream that writes segments."""
-    path, folder = f"{sf_dir}/documents.parquet", _folder(spark)
+    path, folder = f"{sf_dir}/documents.parquet", Scratch(spark, "stream").root
     # a pattern, since a stream takes no single file as its path
     docs = ingest.page_stream(spark, f"{sf_dir}/documents.parque[t]", spark.read.parquet(path).schema).select("doc_id", "text")
     ingest.index_stream(docs, f"{folder}/segments", f"{folder}/progress", "doc_id", "text", "doc_id", UNSTEMMED).awaitTermination()
@@ -206,7 +210,7 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("stored_lookup", _with(_POST, f"select * from post where term in ({_IN})"))
 def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few terms from postings stored by a hash of the term."""
-    folder = _folder(spark)
+    folder = Scratch(spark, "stored").root
     index.write(_postings(spark, sf_dir), f"{folder}/postings", parts=16)
     return _csv(index.lookup(spark.read.parquet(f"{folder}/postings"), _WORDS, parts=16))
 
@@ -225,7 +229,7 @@ def all_terms_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("pivot_term")
 def pivot_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frequency = query.term_frequencies(_postings(spark, sf_dir), _WORDS)
+    frequency = query.term_frequencies(_stored(spark, sf_dir), _WORDS)
     slot = query.pivot_slot(_WORDS, frequency)
     rows = [] if slot is None else [(slot, _WORDS[slot], frequency[_WORDS[slot]])]
     return spark.createDataFrame(rows, "slot long, term string, df long")
@@ -239,13 +243,13 @@ ORACLES["pivot_term"] = _with(
 
 @_query("intersect_postings", _with(_T, "select distinct doc_id from t where term = 'de' and doc_id in (select doc_id from t where term = 'la')"))
 def intersect_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _postings(spark, sf_dir)
+    rows = _stored(spark, sf_dir)
     return query.intersect(index.lookup(rows, ["de"]), index.lookup(rows, ["la"]))
 
 
 def _pairs_query(k: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _postings(spark, sf_dir)
+        rows = _stored(spark, sf_dir)
         found = query.positional_intersect(index.lookup(rows, ["de"]), index.lookup(rows, ["la"]), k)
         return found.select("doc_id", F.col("position1").cast("long").alias("position1"), F.col("position2").cast("long").alias("position2"))
 
@@ -256,28 +260,28 @@ for _k in (1, 3):
     _query(f"positional_pairs_k{_k}", _with(_T, f"select a.doc_id, a.pos position1, b.pos position2 from t a join t b on a.doc_id = b.doc_id and a.term = 'de' and b.term = 'la' and abs(a.pos - b.pos) between 1 and {_k}"))(_pairs_query(_k))
 
 
-def _phrase_sql(text: str) -> str:
-    """EXISTS form of the match predicate; the pivot comes from the document frequencies."""
+def _phrase_sql(text: str, tokens: str = _T, t: str = "t") -> str:
+    """EXISTS form of the match predicate; the pivot comes from the document frequencies. ``t`` is the token table of the CTEs ``tokens``."""
     terms = text.split()
-    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
+    values = ", ".join(f"({i}, '{x}')" for i, x in enumerate(terms))
     ctes = (
-        f"{_T}, q(slot, term) as (values {values}), d as (select term, count(distinct doc_id) df from t where term in (select term from q) group by term), "
+        f"{tokens}, q(slot, term) as (values {values}), d as (select term, count(distinct doc_id) df from {t} where term in (select term from q) group by term), "
         "w as (select q.slot, q.term, d.df from q join d using (term)), "
         f"pv as (select slot, term from w where (select count(*) from w) = {len(terms)} order by df, slot limit 1)"
     )
     return _with(ctes, (
-        "select distinct p.doc_id from pv join t p on p.term = pv.term where not exists (select 1 from q where q.slot <> pv.slot and not exists "
-        "(select 1 from t x where x.doc_id = p.doc_id and x.term = q.term and abs(x.pos - p.pos) between 1 and abs(q.slot - pv.slot)))"
+        f"select distinct p.doc_id from pv join {t} p on p.term = pv.term where not exists (select 1 from q where q.slot <> pv.slot and not exists "
+        f"(select 1 from {t} x where x.doc_id = p.doc_id and x.term = q.term and abs(x.pos - p.pos) between 1 and abs(q.slot - pv.slot)))"
     ))
 
 
 for _name, _text in PHRASES.items():
-    _query(_name, _phrase_sql(_text))(lambda spark, sf_dir, text=_text: query.phrase(_postings(spark, sf_dir), text, UNSTEMMED))
+    _query(_name, _phrase_sql(_text))(lambda spark, sf_dir, text=_text: query.phrase(_stored(spark, sf_dir), text, UNSTEMMED))
 
 
 @_query("phrase_exact_order", _with(_T, "select distinct a.doc_id from t a join t b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'de' and b.term = 'la'"))
 def phrase_exact_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.match(_postings(spark, sf_dir), ["de", "la"], strict=True)
+    return query.match(_stored(spark, sf_dir), ["de", "la"], strict=True)
 
 
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,14 +305,21 @@ _BENCH_T = _BENCH_T.replace(" l from r)", " l from br)").replace(" l from p)", "
     "select distinct pv.query_id, p.doc_id from pv join t p on p.term = pv.term left join w on w.query_id = pv.query_id and w.o > 1 "
     "left join t x on x.doc_id = p.doc_id and x.term = w.term and abs(x.pos - p.pos) between 1 and abs(w.slot - pv.slot) where pv.n = 1 or x.doc_id is not null"))
 def batch_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.batch(_postings(spark, sf_dir), _slots(spark, sf_dir))
+    return query.batch(_stored(spark, sf_dir), _slots(spark, sf_dir))
 
 
-@_query("batch_passages")
+@_query("batch_passages", _with(
+    f"{_T}, {_BENCH_T}, q as (select doc_id query_id, pos slot, term from bt), d as (select term, count(distinct doc_id) df from t group by term), "
+    "w as (select q.*, d.df, count(*) over (partition by query_id) n, count(*) filter (d.df is null) over (partition by query_id) lost, "
+    "row_number() over (partition by query_id order by d.df nulls first, slot) o from q left join d using (term)), "
+    "pv as (select * from w where o = 1 and lost = 0), "
+    "f as (select pv.query_id, p.doc_id, p.pos from pv join t p on p.term = pv.term join w on w.query_id = pv.query_id and w.o > 1 "
+    "join t x on x.doc_id = p.doc_id and x.term = w.term and abs(x.pos - p.pos) between 1 and abs(w.slot - pv.slot) group by pv.query_id, p.doc_id, p.pos, pv.n having count(distinct w.o) = pv.n - 1)",
+    "select query_id, doc_id from f union select pv.query_id, p.doc_id from pv join t p on p.term = pv.term where pv.n = 1"))
 def batch_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark passages as queries: every surviving term is a slot."""
     terms = analysis.tokens(table(spark, sf_dir, "benchmark"), "item_id", "text", UNSTEMMED)
-    return query.batch(_postings(spark, sf_dir), terms.select(F.col("doc_id").alias("query_id"), F.col("pos").alias("slot"), "term"))
+    return query.batch(_stored(spark, sf_dir), terms.select(F.col("doc_id").alias("query_id"), F.col("pos").alias("slot"), "term"))
 
 
 # --- results ----------------------------------------------------------------------------------------------------------
@@ -327,7 +338,7 @@ def _as_pages(docs: DataFrame) -> DataFrame:
 
 @_query("search_results", _phrase_sql("anea eriner").replace("select distinct p.doc_id from pv", f"select doc_id id, source title, 'http://' || source || '/' || doc_id url, {_SNIPPET.format('text')} snippet, 0 depth from documents where doc_id in (select p.doc_id from pv") + ")")
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = query.phrase(_postings(spark, sf_dir), "anea eriner", UNSTEMMED)
+    hits = query.phrase(_stored(spark, sf_dir), "anea eriner", UNSTEMMED)
     return search.results(_as_pages(table(spark, sf_dir, "documents")), hits)
 
 
@@ -382,41 +393,121 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _URL = "select min(url) from pages"
 
 
+def _page_table(spark: SparkSession, sf_dir: str) -> store.Pages:
+    """A page store with all pages; depth and seeds follow from the id."""
+    pages = table(spark, sf_dir, "pages")
+    stored = store.Pages(spark, Scratch(spark, "pages").root)
+    stored.insert(pages.select(
+        F.col("page_id").cast("string").alias("_id"), "url", F.lit("").alias("title"), F.col("html").alias("html_body"), F.lit("").alias("cleaned_content"),
+        (F.col("page_id") % 4).cast("int").alias("depth"), (F.col("page_id") % 4 == 0).alias("is_seed"), F.lit(False).alias("indexed"),
+    ))
+    return stored
+
+
+def _page_id() -> Column:
+    return F.col("_id").cast("long")
+
+
+def _first_url(spark: SparkSession, sf_dir: str) -> str:
+    return table(spark, sf_dir, "pages").agg(F.min("url")).first()[0]
+
+
+def _found(spark: SparkSession, row) -> DataFrame:
+    return spark.createDataFrame([] if row is None else [(int(row["_id"]), row["url"])], "page_id long, url string")
+
+
 @_query("find_by_url", f"select page_id, url from pages where url = ({_URL})")
 def find_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.join(pages.agg(F.min("url").alias("url")), "url", "left_semi").select("page_id", "url")
+    return _found(spark, _page_table(spark, sf_dir).find_by_url(_first_url(spark, sf_dir)))
 
 
 @_query("find_by_id", "select page_id, url from pages where page_id = 7")
 def find_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where("page_id = 7").select("page_id", "url")
+    return _found(spark, _page_table(spark, sf_dir).find_by_id("7"))
 
 
 @_query("find_seeds_by_depth", "select page_id, url, cast(page_id % 4 as int) depth, page_id % 4 = 0 is_seed from pages where page_id % 4 in (0, 2)")
 def find_seeds_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 4).cast("int").alias("depth"), (F.col("page_id") % 4 == 0).alias("is_seed"))
-    return pages.where(F.col("is_seed") | (F.col("depth") == 2))
+    pages = _page_table(spark, sf_dir)
+    return pages.find_seeds().unionByName(pages.find_by_depth(2)).select(_page_id().alias("page_id"), "url", "depth", "is_seed")
 
 
 @_query("count_exists", f"select count(*) n, count(*) filter (url like 'https%') n_https, count(*) filter (url = ({_URL})) > 0 url_exists from pages")
 def count_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    first = pages.agg(F.min("url").alias("first")).first()["first"]
-    return pages.agg(F.count("*").alias("n"), F.count_if(F.col("url").startswith("https")).alias("n_https"), (F.count_if(F.col("url") == F.lit(first)) > 0).alias("url_exists"))
+    pages = _page_table(spark, sf_dir)
+    found = (pages.count(), pages.count(F.col("url").startswith("https")), pages.url_exists(_first_url(spark, sf_dir)))
+    return spark.createDataFrame([found], "n long, n_https long, url_exists boolean")
 
 
 @_query("mark_indexed", "select page_id, page_id in (select page_id from pages where page_id % 5 = 0) as indexed from pages")
 def mark_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id")
-    done = pages.where("page_id % 5 = 0").withColumn("hit", F.lit(True))
-    return pages.join(done, "page_id", "left").select("page_id", F.coalesce("hit", F.lit(False)).alias("indexed"))
+    pages = _page_table(spark, sf_dir)
+    pages.mark_indexed(pages.find(_page_id() % 5 == 0).select("_id"))
+    return pages.read().select(_page_id().alias("page_id"), "indexed")
 
 
 @_query("update_delete", "select page_id, case when page_id % 7 = 0 then 'changed' else url end url from pages where page_id % 11 <> 0")
 def update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").where("not (page_id % 11 = 0)")
-    return pages.select("page_id", F.when(F.col("page_id") % 7 == 0, "changed").otherwise(F.col("url")).alias("url"))
+    pages = _page_table(spark, sf_dir)
+    pages.update(_page_id() % 7 == 0, {"url": "changed"})
+    pages.delete(_page_id() % 11 == 0)
+    return pages.read().select(_page_id().alias("page_id"), "url")
+
+
+@_query("page_upsert", "select page_id, url, 9 depth, 'again' title, false as indexed from pages union all select page_id + 1000000, url || '?new', 9, 'again', false from pages")
+def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored and indexed pages crawled again, and as many new ones: addresses keep their ids, flags start anew."""
+    pages = _page_table(spark, sf_dir)
+    pages.mark_indexed(pages.read().select("_id"))
+    again = pages.read().select((_page_id() + 1_000_000).cast("string").alias("_id"), "url", F.lit("again").alias("title"), "html_body", F.lit(9).alias("depth"))
+    pages.upsert(again.unionByName(again.withColumn("url", F.concat("url", F.lit("?new")))))
+    return pages.read().select(_page_id().alias("page_id"), "url", "depth", "title", "indexed")
+
+
+@_query("page_walk", "select page_id, url, cast((row_number() over (order by cast(page_id as varchar)) - 1) // 1000 as int) batch from pages")
+def page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page store read by keyset pagination to its end, with the number of the page that each row came in."""
+    pages, cursor, found, batch = _page_table(spark, sf_dir), None, [], 0
+    while True:
+        rows, cursor = pages.list_paginated(1000, cursor)
+        if not rows:
+            return spark.createDataFrame(found, "page_id long, url string, batch int")
+        found += [(int(r["_id"]), r["url"], batch) for r in rows]
+        batch += 1
+
+
+@_query("store_handle", "select true as answers, true as same_store, (select count(*) from pages) n_pages")
+def store_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = Store._current
+    made = Store.init_global(spark, Scratch(spark, "handle").root)
+    try:
+        made.pages.insert(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("_id"), "url"))
+        found = (Store.get().ping(), Store.get() is made, Store.get().pages.count())
+    finally:
+        Store._current = before
+    return spark.createDataFrame([found], "answers boolean, same_store boolean, n_pages long")
+
+
+@_query("merge_checkpoints", "select * from (values ('s1', 'pear', 3, false), ('s3', null, -1, false)) t(collection_name, last_merged_term, last_merged_bucket, completed)")
+def merge_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three checkpoints, of which one has come some way and one to its end."""
+    points = store.Checkpoints(spark, Scratch(spark, "checkpoints").root)
+    for name in ("s1", "s2", "s3", "s1"):
+        points.get_or_create(name)
+    points.progress("s1", "pear", 3)
+    points.complete("s2")
+    points.delete_completed()
+    return points.incomplete().select("collection_name", "last_merged_term", "last_merged_bucket", "completed")
+
+
+@_query("segments_index", _with(_POST, "select * from post"))
+def segments_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as segments of unequal size, merged one after the other into the stored index."""
+    made, docs = Store(spark, Scratch(spark, "segments").root), table(spark, sf_dir, "documents")
+    for name, part in (("s1", F.col("doc_id") % 16 == 3), ("s2", F.col("doc_id") % 2 == 0), ("s3", (F.col("doc_id") % 2 == 1) & (F.col("doc_id") % 16 != 3))):
+        made.segments.add(name, index.postings(docs.where(part), "doc_id", "text", UNSTEMMED, unique=True), CAPACITY)
+        made.segments.merge(parts=8, steps=2)
+    return _csv(made.segments.index().withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 # --- crawl ------------------------------------------------------------------------------------------------------------
@@ -474,10 +565,33 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.traverse(_linked(table(spark, sf_dir, "pages")), ["p0"], 4)
 
 
+_SITE_DEPTH = 6
+
+
+@_query("crawl_fetched", f"""with recursive w(id, depth) as (select 0, 0 union all
+    select id * 2 + k, depth + 1 from w, (values (1), (2)) v(k) where depth < {_SITE_DEPTH} and id % 7 <> 3 and id % 11 <> 5)
+    select 'http://site/' || id url, 'page ' || id title, depth, depth = 0 is_seed, 2 n_links from w where id % 7 <> 3 and id % 11 <> 5""")
+def crawl_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of a site that is made up as it is fetched: page n leads to 2n + 1 and 2n + 2; some pages are no HTML or never answer."""
+    no_html = crawl.NotHtml
+
+    def get(url: str) -> str:
+        n = int(url.rsplit("/", 1)[1])
+        if n % 7 == 3:
+            raise no_html(url)
+        if n % 11 == 5:
+            raise OSError(url)
+        return f'<title>page {n}</title><a href="/{2 * n + 1}">a</a><a href="/{2 * n + 2}#">b</a><a href="/x.pdf">c</a>'
+
+    fetch_all = lambda frontier: crawl.fetched(frontier, 4, get, back_off_ms=0)
+    rows = crawl.crawl(spark, ["http://site/0"], _SITE_DEPTH, frontier_size=16, fetch_all=fetch_all)
+    return rows.select("url", "title", "depth", "is_seed", F.size("outgoing_links").alias("n_links"))
+
+
 # --- pages, whole pipeline ----------------------------------------------------------------------------------------------
 
 
-@_query("html_text")
+@_query("html_text", f"select page_id, {page_body()} body from pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", page_text("html")["body"].alias("body"))
 
@@ -497,22 +611,30 @@ def html_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(words, " ").alias("words"))
 
 
-@_query("html_struct")
+_TEXT_OF = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+_ALL = r"coalesce(list_aggregate(list_transform(regexp_extract_all(html, '{}', 1), lambda x: trim({})), 'string_agg', '|'), '')"
+_ANCHORS, _HEADS = _ALL.format('<a href="[^"]*">([^<]*)</a>', _TEXT_OF.format("x")), _ALL.format("<h1>([^<]*)</h1>", _TEXT_OF.format("x"))
+_TITLE = "trim(" + _TEXT_OF.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + ")"
+
+
+@_query("html_struct", rf"""with h as ({_HREFS}), n as (select page_id, count(distinct href) n_links from h where not regexp_matches(lower(href), '{_DENY}') group by page_id)
+    select page_id, {_TITLE} title, {_HEADS} headings, {_ANCHORS} anchors, coalesce(n_links, 0) n_links from pages left join n using (page_id)""")
 def html_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").withColumn("p", page_text("html"))
     links = F.size(outgoing_links(F.col("url"), F.col("p.hrefs"))).cast("long")
     return rows.select("page_id", "p.title", F.array_join("p.headings", "|").alias("headings"), F.array_join("p.anchors", "|").alias("anchors"), links.alias("n_links"))
 
 
-@_query("page_index")
+@_query("page_index", _with(_POST_STEMMED.replace("from documents", _PAGES), "select * from post"))
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _csv(index.postings(table(spark, sf_dir, "pages"), "page_id", "html"))
+    return _csv(index.postings(table(spark, sf_dir, "pages"), "page_id", "html", unique=True))
 
 
-@_query("full_pipeline_phrase")
+@_query("full_pipeline_phrase", _phrase_sql(f"{stem('thanedble')} {stem('anea')}", _STEMMED.replace("from documents", _PAGES), "ts").replace(
+    "select distinct p.doc_id from pv", f"select page_id id, '' title, url, {_SNIPPET.format('html')} snippet, 0 depth from pages where page_id in (select p.doc_id from pv") + ")")
 def full_pipeline_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    hits = query.phrase(index.postings(pages, "page_id", "html"), "thanedble anea")
+    hits = query.phrase(Scratch(spark, "pages").keep(index.postings(pages, "page_id", "html", unique=True)), "thanedble anea")
     rows = pages.select(F.col("page_id").alias("_id"), F.lit("").alias("title"), "url", F.lit("").alias("cleaned_content"), F.col("html").alias("html_body"), F.lit(0).alias("depth"))
     return search.results(rows, hits)
 
@@ -526,9 +648,19 @@ def conversation_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["conversation_terms"] = _with(_T.replace("from documents", "from (select conv_id doc_id, text from conversations)"), "select doc_id conv_id, term, count(*) n from t group by all")
 
 
+@_query("search_answer", "select n total_results, cast(least(n, 3) as int) shown, n > 3 has_next, 'anea, eriner' words from (select count(*) n from (" + _phrase_sql("anea eriner") + "))")
+def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, words to highlight and continuation of a search answer that shows three results."""
+    pages = _as_pages(table(spark, sf_dir, "documents")).withColumn("_id", F.col("_id").cast("string"))
+    rows = _stored(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    answer = search.search(pages, rows, "anea, eriner", UNSTEMMED).collect(limit=3)
+    found = (answer["total_results"], len(answer["results"]), "next" in answer, " ".join(answer["highlighted_terms"]))
+    return spark.createDataFrame([found], "total_results long, shown int, has_next boolean, words string")
+
+
 @_query("labelled_hits")
 def labelled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = query.phrase(_postings(spark, sf_dir), "thanedble", UNSTEMMED)
+    hits = query.phrase(_stored(spark, sf_dir), "thanedble", UNSTEMMED)
     return table(spark, sf_dir, "labels").join(hits, "doc_id", "left_semi").select("doc_id", "quality", "toxic")
 
 

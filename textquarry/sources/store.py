@@ -1,12 +1,16 @@
-"""Pages and index segments as Parquet tables under one base path.
-
-Parquet has no update in place: a change writes the next version of a table
-beside the old one and then moves a pointer file to it, so a reader sees the
-table before or after a change, never in between.
+"""Pages and checkpoints as Parquet tables under one base path.
+
+Parquet has no update in place. A table is a list of folders, named by a
+numbered file that is never changed: a change writes new folders beside the old
+ones and then the next number, so a reader sees the table before or after a
+change, never in between, and a change that fails half-way leaves the table as
+it was. Only folders that hold a changed row are written again. The folders of
+the version before the current one stay for its readers.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,57 +74,119 @@ def deduplicated(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", place).where("__n = 1").drop("__n")
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed the same version."""
+
+
+class Versions:
+    """Numbered lists of the folders of ``path``, with facts about them; the highest number counts."""
+
+    KEPT = 2
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, name: str = ""):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        path, fs = self._at("_versions")
+        if not fs.exists(path):
+            return []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit())
+
+    def _load(self, number: int) -> dict:
+        path, fs = self._at(f"_versions/{number:012d}")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def read(self) -> dict:
+        """The current version: number (0: none yet), folders and facts."""
+        numbers = self.numbers()
+        return {"folders": [], **self._load(numbers[-1]), "number": numbers[-1]} if numbers else {"number": 0, "folders": []}
+
+    def commit(self, after: dict, folders: list[str], **facts) -> None:
+        """Makes ``folders`` the version after ``after``; then removes folders that no kept version names."""
+        number = after["number"] + 1
+        temporary, fs = self._at(f"_versions/_{uuid.uuid4().hex}")
+        out = fs.create(temporary, False)
+        out.write(bytearray(json.dumps({"folders": folders, **facts}).encode()))
+        out.close()
+        target = self._at(f"_versions/{number:012d}")[0]
+        if fs.exists(target) or not fs.rename(temporary, target):
+            fs.delete(temporary, False)
+            raise Conflict(f"version {number} of {self.path} exists")
+        self._clean()
+
+    def _clean(self) -> None:
+        numbers = self.numbers()
+        kept = {f for n in numbers[-self.KEPT :] for f in self._load(n)["folders"]}
+        for number in numbers[: -self.KEPT]:
+            for folder in self._load(number)["folders"]:
+                if folder not in kept:
+                    path, fs = self._at(folder)
+                    fs.delete(path, True)
+            path, fs = self._at(f"_versions/{number:012d}")
+            fs.delete(path, False)
+
+    def vacuum(self) -> None:
+        """Removes folders that no kept version names, such as those of changes that failed; no writer may be at work."""
+        kept = {f for n in self.numbers()[-self.KEPT :] for f in self._load(n)["folders"]}
+        path, fs = self._at()
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            name = status.getPath().getName()
+            if name.startswith("v-") and name not in kept:
+                fs.delete(status.getPath(), True)
+
+
+#: Keys up to this many are broadcast to the rows they change; more are joined by shuffling.
+KEY_LIMIT = 500_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= KEY_LIMIT else keys
+
+
 class Table:
     """A versioned Parquet table with a fixed schema."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.versions = Versions(spark, self.path)
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _version(self) -> str | None:
-        jvm, fs = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-
-    def _commit(self, version: str) -> None:
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
-        with_name = path(f"{self.path}/_CURRENT-{uuid.uuid4().hex}")
-        out = fs.create(with_name)
-        out.write(bytearray(version.encode()))
-        out.close()
-        current = path(f"{self.path}/CURRENT")
-        if fs.exists(current):
-            fs.delete(current, False)
-        fs.rename(with_name, current)
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self) -> DataFrame:
-        version = self._version()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        return self._rows(self.versions.read()["folders"])
 
     def _shaped(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
 
+    def _write(self, rows: DataFrame) -> str:
+        folder = f"v-{uuid.uuid4().hex}"
+        self._shaped(rows).write.parquet(f"{self.path}/{folder}")
+        return folder
+
     def overwrite(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        self._shaped(rows).write.parquet(f"{self.path}/{version}")
-        self._commit(version)
+        now = self.versions.read()
+        self.versions.commit(now, [self._write(rows)])
 
     def insert(self, rows: DataFrame) -> None:
-        """Appends to the current version."""
-        version = self._version()
-        if version is None:
-            self.overwrite(rows)
-        else:
-            self._shaped(rows).write.mode("append").parquet(f"{self.path}/{version}")
+        """Adds a folder with the rows; readers of the present version don't see it."""
+        now = self.versions.read()
+        self.versions.commit(now, [*now["folders"], self._write(rows)])
+
+    def compact(self) -> None:
+        """Writes all folders as one."""
+        self.overwrite(self.read())
 
     def find(self, condition: Column | None = None) -> DataFrame:
         rows = self.read()
@@ -139,20 +205,32 @@ class Table:
     def exists(self, condition: Column) -> bool:
         return not self.find(condition).isEmpty()
 
+    def _touched(self, folders: list[str], hits) -> dict[str, int]:
+        """folder -> rows in ``hits(rows)``."""
+        if not folders:
+            return {}
+        rows = self._rows(folders).withColumn("__folder", F.regexp_extract("_metadata.file_path", "/(v-[0-9a-f]{32})/", 1))
+        return {r["__folder"]: r["count"] for r in hits(rows).groupBy("__folder").count().collect()}
+
+    def _change(self, condition: Column, change) -> int:
+        now, hit = self.versions.read(), F.coalesce(condition, F.lit(False))
+        touched = self._touched(now["folders"], lambda rows: rows.where(hit))
+        if touched:
+            kept = [f for f in now["folders"] if f not in touched]
+            self.versions.commit(now, [*kept, self._write(change(self._rows(list(touched)), hit))])
+        return sum(touched.values())
+
     def update(self, condition: Column, values: dict[str, object]) -> int:
         """Sets fields of the rows that meet the condition; returns their number."""
-        rows, hit = self.read(), F.coalesce(condition, F.lit(False))
-        n = rows.where(hit).count()
-        if n:
-            self.overwrite(rows.select(*[F.when(hit, F.lit(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns]))
-        return n
+
+        def change(rows: DataFrame, hit: Column) -> DataFrame:
+            return rows.select(*[F.when(hit, F.lit(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns])
+
+        return self._change(condition, change)
 
     def delete(self, condition: Column) -> int:
-        rows, hit = self.read(), F.coalesce(condition, F.lit(False))
-        n = rows.where(hit).count()
-        if n:
-            self.overwrite(rows.where(~hit))
-        return n
+        """Removes the rows that meet the condition; returns their number."""
+        return self._change(condition, lambda rows, hit: rows.where(~hit))
 
 
 class Pages(Table):
@@ -170,7 +248,14 @@ class Pages(Table):
         if order and order not in shaped.columns:
             shaped = self._shaped(deduplicated(fresh, "url", order))
             order = None
-        self.overwrite(upserted(self.read(), shaped, order=order))
+        now = self.versions.read()
+        keys = shaped.select("url").distinct()
+        # only pages with a new address meet the new rows; the bodies of the others are not shuffled
+        keys = few(keys)
+        touched = self._touched(now["folders"], lambda rows: rows.select("url", "__folder").join(keys, "url", "left_semi"))
+        kept, old = [f for f in now["folders"] if f not in touched], self._rows(list(touched))
+        merged = upserted(old.join(keys, "url", "left_semi").select(*old.columns), shaped, order=order)
+        self.versions.commit(now, [*kept, self._write(old.join(keys, "url", "left_anti").select(*old.columns).unionByName(merged))])
 
     def find_by_url(self, url: str):
         return self.find_one(F.col("url") == url)
@@ -195,9 +280,12 @@ class Pages(Table):
 
     def mark_indexed(self, ids: DataFrame) -> None:
         """Sets the flag of the pages whose _id is in ``ids``."""
-        marked = ids.select(F.col("_id"), F.lit(True).alias("__hit")).distinct()
-        rows = self.read().join(marked, "_id", "left").withColumn("indexed", F.coalesce("__hit", "indexed", F.lit(False)))
-        self.overwrite(rows.drop("__hit"))
+        marked = few(ids.select(F.col("_id"), F.lit(True).alias("__hit")).distinct())
+        now = self.versions.read()
+        touched = self._touched(now["folders"], lambda rows: rows.select("_id", "__folder").join(marked, "_id", "left_semi"))
+        if touched:
+            rows = self._rows(list(touched)).join(marked, "_id", "left").withColumn("indexed", F.coalesce("__hit", "indexed", F.lit(False)))
+            self.versions.commit(now, [*[f for f in now["folders"] if f not in touched], self._write(rows.drop("__hit"))])
 
 
 class Checkpoints(Table):
@@ -213,11 +301,15 @@ class Checkpoints(Table):
             found = self.find_one(F.col("collection_name") == name)
         return found
 
-    def progress(self, name: str, term: str, bucket: int) -> int:
-        return self.update(F.col("collection_name") == name, {"last_merged_term": term, "last_merged_bucket": bucket})
+    def _of(self, names: str | list[str]) -> Column:
+        return F.col("collection_name").isin([names] if isinstance(names, str) else names)
+
+    def progress(self, names: str | list[str], term: str, bucket: int) -> int:
+        """Notes the last merged place of one or several segments."""
+        return self.update(self._of(names), {"last_merged_term": term, "last_merged_bucket": bucket, "updated_at": F.current_timestamp()})
 
-    def complete(self, name: str) -> int:
-        return self.update(F.col("collection_name") == name, {"completed": True})
+    def complete(self, names: str | list[str]) -> int:
+        return self.update(self._of(names), {"completed": True, "updated_at": F.current_timestamp()})
 
     def incomplete(self) -> DataFrame:
         return self.find(~F.col("completed"))

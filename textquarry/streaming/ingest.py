@@ -30,13 +30,18 @@ def index_stream(
 ) -> StreamingQuery:
     """Starts the stream; every batch writes ``segments/batch=N`` (term, doc_id, positions, tf, version).
 
-    A page that occurs twice in a batch counts with its larger id. ``once``
-    ends the query when all files present have been read.
+    A page that occurs twice in a batch counts with its larger id. Every page
+    of a batch has a row without a term too, so that a page whose new text has
+    no terms takes the place of its old version. ``once`` ends the query when
+    all files present have been read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(doc_id, text), doc_id).alias("r")).select("r.*")
-        rows = postings(newest, doc_id, text, analyzer).withColumn("version", F.lit(number).cast("long"))
+        rows = postings(newest, doc_id, text, analyzer)
+        none = {"term": "string", "positions": "array<int>", "tf": "long"}
+        seen = newest.select(F.col(doc_id).alias("doc_id"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        rows = rows.unionByName(seen).withColumn("version", F.lit(number).cast("long"))
         rows.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{segments}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -46,10 +51,10 @@ def index_stream(
 def current(segments: DataFrame) -> DataFrame:
     """Postings of all segments in which each document has only the rows of its last version."""
     last = segments.groupBy("doc_id").agg(F.max("version").alias("version"))
-    return segments.join(last, ["doc_id", "version"], "left_semi").select("term", "doc_id", "positions", "tf")
+    return segments.where("term is not null").join(last, ["doc_id", "version"], "left_semi").select("term", "doc_id", "positions", "tf")
 
 
 def compact(spark: SparkSession, segments: str, out: str) -> None:
-    """Writes the current postings of all segments as one, sorted by term."""
+    """Writes the current postings of all segments as one, sorted by term; a hot term goes to several tasks by ranges of ids."""
     rows = current(spark.read.parquet(segments))
-    rows.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(out)
+    rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(out)
