@@ -352,10 +352,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(signed, labels): signatures of all documents; ``node, label`` of class keys with a link to another class."""
+    """(signed, labels): doc_id, n, key, digest of all documents; ``node, label`` of class keys with a link to another class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    begin = scratch.n
     signed = _with_own_keys(scratch.keep(signatures(docs, frequent_shingles(docs), percent)), scratch)
     lists = scratch.keep(_cold_lists(_postings(signed, "cold"), percent))
+    prefixes = range(begin + 1, scratch.n + 1)
     opened = lists.where("token is not null").select("token", "key", "n", "at")
     opened = scratch.keep(opened.union(_postings(signed, "warm")).distinct())
     pairs = scratch.keep(lists.where("token is null").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct())
@@ -367,6 +369,8 @@ def class_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
     met = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(opened.select("key")).distinct()
     firsts = signed.where("n > 0").join(met, "key", "left_semi").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id"))
     sets = scratch.keep(_sketches(docs, scratch.keep(firsts.where("doc_id is not null").select("doc_id", "key", "digest")), percent))
+    signed = scratch.keep(signed.select("doc_id", "n", "key", "digest"))
+    scratch.drop(*prefixes)  # the tables with the prefixes of all documents, which are large, have been read
 
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     tested, links, rounds = None, None, 0
@@ -414,8 +418,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed, labels = class_components(docs, scratch, percent)
-    base = signed.select("doc_id", "n", "key", "digest")
-    named = base.join(labels.withColumnRenamed("node", "key"), "key", "left")
+    named = signed.join(labels.withColumnRenamed("node", "key"), "key", "left")
     # a class without links to others keeps its whole digest as name
     name = F.when(F.col("label").isNull(), F.col("digest")).otherwise(F.col("label").cast("string").cast("binary"))
     named = named.select("doc_id", "n", F.when(F.col("n") > 0, name).alias("group"))
