@@ -200,7 +200,8 @@ class _Lists:
         self.percent = percent
         self.rest = [np.zeros(0, np.int64)] * 4  # rows of the last token so far: token, key, n, at
         self.long: int | None = None  # the last token, once it is known to have a longer list
-        self.pairs = np.zeros((0, 2), np.int64)
+        self.found: list[np.ndarray] = []  # pairs, with repeats
+        self.size = 0
 
     def take(self, columns: list[np.ndarray], last: bool = False):
         """Record batches for what is complete with these rows."""
@@ -226,16 +227,19 @@ class _Lists:
         token, key, n, at = columns
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [len(token)]]))
-        found = [self.pairs]
         for size in range(2, SMALL_LIST + 1):
             first = starts[sizes == size]
-            for i in range(size):
+            for i in range(size if len(first) else 0):
                 for j in range(i + 1, size):
                     x, y = first + i, first + j
                     ok = overlap_possible(n[x], n[y], at[x], at[y], self.percent)
-                    found.append(np.stack([key[x[ok]], key[y[ok]]], axis=1))
-        self.pairs = np.unique(np.concatenate(found), axis=0)
-        if last or len(self.pairs) > BLOCK:
+                    self.found.append(np.stack([key[x[ok]], key[y[ok]]], axis=1))
+                    self.size += len(self.found[-1])
+        if self.size > 4 * BLOCK:
+            self._distinct()
+            if self.size > 2 * BLOCK:
+                yield from self.flush()
+        if last:
             yield from self.flush()
         longer = np.repeat(sizes > SMALL_LIST, sizes)
         yield from self._rows([x[longer] for x in columns])
@@ -246,9 +250,16 @@ class _Lists:
         if len(token):
             yield pa.RecordBatch.from_pydict({"token": token, "key": key, "n": n.astype(np.int32), "at": at.astype(np.int32), "other": pa.nulls(len(token), pa.int64())})
 
+    def _distinct(self) -> None:
+        pairs = np.concatenate(self.found)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
+        self.found, self.size = [pairs], len(pairs)
+
     def flush(self):
-        pairs, self.pairs = self.pairs, self.pairs[:0]
-        if len(pairs):
+        if self.size:
+            self._distinct()
+            pairs, self.found, self.size = self.found[0], [], 0
             none, none32 = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
             yield pa.RecordBatch.from_pydict({"token": none, "key": pa.array(pairs[:, 0]), "n": none32, "at": none32, "other": pa.array(pairs[:, 1])})
 
