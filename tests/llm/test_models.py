@@ -595,7 +595,9 @@ def test_ftrl_equals_the_published_steps():
                 n[i, k] += g * g
     got = model.weights()
     assert all(got[i, k] == pytest.approx(weight((i, k)), abs=1e-12) for i in range(12) for k in range(classes))
-    assert (got[:12] == 0).any() and (got[:12] != 0).any()  # sparse
+    assert (got[12:] == 0).all() and (got[:12] != 0).any()
+    model.z[3] = np.array([0.9, -0.9, 1.1]) * language_id.L1  # sums of gradients within the l1 penalty leave no weight
+    assert model.weights()[3].tolist()[:2] == [0, 0] and model.weights()[3][2] < 0
 
 
 def test_temperature_is_the_best(spark):
