@@ -80,6 +80,16 @@ def test_index_and_search(spark, main, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["results"][0]["snippet"] == "green pear"
 
 
+def test_another_stop_list(spark, main, tmp_path, capsys):
+    pages = Pages(spark, str(tmp_path))
+    pages.upsert(spark.createDataFrame([("http://a", "A", "<p>the used boat</p>", [], 0, True)], NEW))
+    (tmp_path / "stop").write_text("used\n\nboat\n", encoding="utf-8")
+    main(["--base", str(tmp_path), "--stop-words", str(tmp_path / "stop"), "index"])
+    assert [r["term"] for r in Store(spark, str(tmp_path)).segments.index().collect()] == ["the"]
+    main(["--base", str(tmp_path), "--stop-words", str(tmp_path / "stop"), "search", "used the"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["total_results"] == 1
+
+
 def test_index_goes_on_after_a_failure(spark, main, tmp_path, monkeypatch):
     """Postings are durable before pages are marked; a run that was cut off in between is repeated without doubling."""
     pages = Pages(spark, str(tmp_path))

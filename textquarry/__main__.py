@@ -10,7 +10,7 @@ import pathlib
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.analysis import with_cleaned_content
+from .functions.analysis import DEFAULT, Analyzer, stop_words_of, with_cleaned_content, with_stop_words
 from .operators import crawl as crawling
 from .operators import index as indexing
 from .operators import search as searching
@@ -20,6 +20,10 @@ from .sources.store import new_ids, unindexed
 STATIC = pathlib.Path(__file__).parent / "static"
 
 
+def _analyzer(args: argparse.Namespace) -> Analyzer:
+    return with_stop_words(stop_words_of(args.stop_words)) if args.stop_words else DEFAULT
+
+
 def _crawl(spark: SparkSession, args: argparse.Namespace) -> None:
     pages = Store(spark, args.base).pages
 
@@ -43,23 +47,23 @@ def _index(spark: SparkSession, args: argparse.Namespace) -> None:
         if todo.isEmpty():
             return
         ids = todo.select("_id")
-        store.segments.replace(indexing.postings(todo, "_id", "html_body", unique=True), ids.withColumnRenamed("_id", "doc_id"))
+        store.segments.replace(indexing.postings(todo, "_id", "html_body", _analyzer(args), unique=True), ids.withColumnRenamed("_id", "doc_id"))
         store.pages.mark_indexed(ids)
 
 
 def _clean(spark: SparkSession, args: argparse.Namespace) -> None:
     """Fills cleaned_content: the page's terms joined by a space, which snippets are then cut from."""
     pages = Store(spark, args.base).pages
-    pages.overwrite(with_cleaned_content(pages.read(), "html_body"))
+    pages.overwrite(with_cleaned_content(pages.read(), "html_body", _analyzer(args)))
 
 
 def _search(spark: SparkSession, args: argparse.Namespace) -> None:
     store = Store(spark, args.base)
-    answer = searching.search(store.pages.read(), store.segments.index(), args.query, strict=args.strict)
+    answer = searching.search(store.pages.read(), store.segments.index(), args.query, _analyzer(args), args.strict)
     print(json.dumps(answer.collect(args.limit, args.after)))
 
 
-def handler(spark: SparkSession, base: str, most: int):
+def handler(spark: SparkSession, base: str, most: int, analyzer: Analyzer = DEFAULT):
     """The request handler: POST /api/search with {"query": ...}, and the files of the user interface.
 
     A request may name a ``limit`` (at most ``most``) and the id to go on
@@ -98,7 +102,7 @@ def handler(spark: SparkSession, base: str, most: int):
             except (ValueError, KeyError, TypeError, AttributeError) as e:
                 return self._send(422, f"Bad request: {e}", "text/plain")
             try:
-                answer = searching.search(store.pages.read(), store.segments.index(), query).collect(limit, after)
+                answer = searching.search(store.pages.read(), store.segments.index(), query, analyzer).collect(limit, after)
             except Exception as e:  # noqa: BLE001  whatever the search fails by is the server's fault
                 return self._send(500, f"Search error: {e}", "text/plain")
             return self._send(200, json.dumps(answer), "application/json")
@@ -107,12 +111,13 @@ def handler(spark: SparkSession, base: str, most: int):
 
 
 def _serve(spark: SparkSession, args: argparse.Namespace) -> None:
-    http.server.ThreadingHTTPServer((args.host, args.port), handler(spark, args.base, args.max_results)).serve_forever()
+    http.server.ThreadingHTTPServer((args.host, args.port), handler(spark, args.base, args.max_results, _analyzer(args))).serve_forever()
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="textquarry")
     parser.add_argument("--base", default="textquarry-data", help="folder of all tables")
+    parser.add_argument("--stop-words", default=None, metavar="FILE", help="another stop list, one word in a line; the same for index and search")
     sub = parser.add_subparsers(dest="command", required=True)
     p = sub.add_parser("crawl")
     p.add_argument("-u", "--url", required=True)

@@ -97,6 +97,17 @@ class Analyzer:
         return list(row["t"] or [])
 
 
+def stop_words_of(path: str) -> tuple[str, ...]:
+    """Stop words of a text file, one in a line; blank lines don't count."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(dict.fromkeys(w for w in (line.strip() for line in f) if w))
+
+
+def with_stop_words(words: Sequence[str], char_filters: tuple[Stage, ...] = (html_body,)) -> Analyzer:
+    """The whole pipeline with another stop list."""
+    return Analyzer(char_filters=char_filters, token_filters=(strip_punctuation, lowercase, drop_numeric, drop_stop_words(words), stem_terms))
+
+
 #: The whole pipeline for pages, and parts of it for plain text.
 DEFAULT = Analyzer()
 PLAIN = Analyzer(char_filters=())

@@ -61,6 +61,12 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scratch(spark, "postings").keep(_postings(spark, sf_dir))
 
 
+def _stored_terms(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
+    """The postings of a query's terms as a written table; other terms are dropped before anything is grouped."""
+    rows = index.postings(table(spark, sf_dir, "documents"), "doc_id", "text", UNSTEMMED)
+    return Scratch(spark, "terms").keep(index.lookup(rows, terms))
+
+
 # --- DuckDB building blocks -------------------------------------------------------------------------------------------
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
@@ -229,7 +235,7 @@ def all_terms_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("pivot_term")
 def pivot_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frequency = query.term_frequencies(_stored(spark, sf_dir), _WORDS)
+    frequency = query.term_frequencies(_stored_terms(spark, sf_dir, _WORDS), _WORDS)
     slot = query.pivot_slot(_WORDS, frequency)
     rows = [] if slot is None else [(slot, _WORDS[slot], frequency[_WORDS[slot]])]
     return spark.createDataFrame(rows, "slot long, term string, df long")
@@ -243,13 +249,13 @@ ORACLES["pivot_term"] = _with(
 
 @_query("intersect_postings", _with(_T, "select distinct doc_id from t where term = 'de' and doc_id in (select doc_id from t where term = 'la')"))
 def intersect_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stored(spark, sf_dir)
+    rows = _stored_terms(spark, sf_dir, ["de", "la"])
     return query.intersect(index.lookup(rows, ["de"]), index.lookup(rows, ["la"]))
 
 
 def _pairs_query(k: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _stored(spark, sf_dir)
+        rows = _stored_terms(spark, sf_dir, ["de", "la"])
         found = query.positional_intersect(index.lookup(rows, ["de"]), index.lookup(rows, ["la"]), k)
         return found.select("doc_id", F.col("position1").cast("long").alias("position1"), F.col("position2").cast("long").alias("position2"))
 
@@ -276,12 +282,12 @@ def _phrase_sql(text: str, tokens: str = _T, t: str = "t") -> str:
 
 
 for _name, _text in PHRASES.items():
-    _query(_name, _phrase_sql(_text))(lambda spark, sf_dir, text=_text: query.phrase(_stored(spark, sf_dir), text, UNSTEMMED))
+    _query(_name, _phrase_sql(_text))(lambda spark, sf_dir, text=_text: query.phrase(_stored_terms(spark, sf_dir, text.split()), text, UNSTEMMED))
 
 
 @_query("phrase_exact_order", _with(_T, "select distinct a.doc_id from t a join t b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'de' and b.term = 'la'"))
 def phrase_exact_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.match(_stored(spark, sf_dir), ["de", "la"], strict=True)
+    return query.match(_stored_terms(spark, sf_dir, ["de", "la"]), ["de", "la"], strict=True)
 
 
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +344,7 @@ def _as_pages(docs: DataFrame) -> DataFrame:
 
 @_query("search_results", _phrase_sql("anea eriner").replace("select distinct p.doc_id from pv", f"select doc_id id, source title, 'http://' || source || '/' || doc_id url, {_SNIPPET.format('text')} snippet, 0 depth from documents where doc_id in (select p.doc_id from pv") + ")")
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = query.phrase(_stored(spark, sf_dir), "anea eriner", UNSTEMMED)
+    hits = query.phrase(_stored_terms(spark, sf_dir, ["anea", "eriner"]), "anea eriner", UNSTEMMED)
     return search.results(_as_pages(table(spark, sf_dir, "documents")), hits)
 
 
@@ -652,7 +658,7 @@ ORACLES["conversation_terms"] = _with(_T.replace("from documents", "from (select
 def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total, words to highlight and continuation of a search answer that shows three results."""
     pages = _as_pages(table(spark, sf_dir, "documents")).withColumn("_id", F.col("_id").cast("string"))
-    rows = _stored(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = _stored_terms(spark, sf_dir, ["anea", "eriner"]).withColumn("doc_id", F.col("doc_id").cast("string"))
     answer = search.search(pages, rows, "anea, eriner", UNSTEMMED).collect(limit=3)
     found = (answer["total_results"], len(answer["results"]), "next" in answer, " ".join(answer["highlighted_terms"]))
     return spark.createDataFrame([found], "total_results long, shown int, has_next boolean, words string")
@@ -660,7 +666,7 @@ def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("labelled_hits")
 def labelled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = query.phrase(_stored(spark, sf_dir), "thanedble", UNSTEMMED)
+    hits = query.phrase(_stored_terms(spark, sf_dir, ["thanedble"]), "thanedble", UNSTEMMED)
     return table(spark, sf_dir, "labels").join(hits, "doc_id", "left_semi").select("doc_id", "quality", "toxic")
 
 
