@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.llm import bpe, jaccard_join, packing, substring_dedup
+from textquarry.llm import bpe, jaccard_join, packing, substring_dedup, text
 from textquarry.llm.components import contract
 from textquarry.llm.scratch import Scratch
 
@@ -319,6 +320,32 @@ def test_packed(spark):
     assert sums.max() <= 2048 and len(sums) <= sums.sum() / 2048 + 4
 
 
+def test_packing_takes_texts_in_slices_and_gives_back(spark):
+    path, lib = library()
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, cut, schema):
+            return cut
+
+    cut = packing.pieces(Rows(), path, 2048, 512)
+    n = 1201
+    given = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [f"alpha beta-{i}" for i in range(n)]})
+    bpe.memory("another", path, bpe.QuickBpe, lambda b, ids: ids)["alpha"]
+    parts = list(cut([given]))
+    assert len(parts) > 1 and max(x.num_rows for x in parts) <= 500
+    assert [i for x in parts for i in x.column("doc_id").to_pylist()] == list(range(n))
+    assert [i for x in parts for i in x.column("doc_tokens").to_pylist()] == [len(lib.encode(f"alpha beta-{i}", add_special_tokens=False).ids) + 1 for i in range(n)]
+    assert list(text.MEMORIES) == [("bytes", path)]
+    held = text.MEMORIES["bytes", path]
+    list(cut([given]))
+    assert text.MEMORIES["bytes", path] is held  # from task to task
+    list(text.slices([given]))
+    assert not text.MEMORIES  # a task of another operator
+
+
 def test_empty_tables(spark):
     path, _ = library()
     none = frame(spark, [])

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import MEMORIES
+
 #: A word of letters, one digit, or a run of other signs; the pattern of the vocabulary file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -235,17 +237,16 @@ class _Memory(dict):
         return value
 
 
-#: Memories of this worker process, which outlive a task.
-_MEMORIES: dict[tuple, _Memory] = {}
-
-
 def memory(kind: str, vocabulary: str, encoder: type[Bpe], make, limit: int = 250_000) -> _Memory:
-    """The process's memory of ``kind``, made at first use; ``make`` takes the encoder and ids."""
+    """The process's memory of ``kind``, made at first use; ``make`` takes the encoder and ids.
+
+    It outlives a task, until one begins that gives back what it does not need.
+    """
     key = (kind, vocabulary)
-    if key not in _MEMORIES:
+    if key not in MEMORIES:
         bpe = encoder(vocabulary)
-        _MEMORIES[key] = _Memory(bpe, lambda ids: make(bpe, ids), limit)
-    return _MEMORIES[key]
+        MEMORIES[key] = _Memory(bpe, lambda ids: make(bpe, ids), limit)
+    return MEMORIES[key]
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

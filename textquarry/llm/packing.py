@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import QuickBpe, default_vocabulary, memory
 from .scratch import Scratch
+from .text import slices
 
 CAPACITY = 2048
 PIECE = 512
@@ -72,10 +73,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, piece: int) -> DataF
     """doc_id, start, length, ids_crc32, doc_tokens of the cuts of every document."""
 
     def cut(batches):
-        packed = memory("bytes", vocabulary, QuickBpe, lambda bpe, ids: np.array(ids, "<u4").tobytes(), limit=450_000)
+        packed = memory("bytes", vocabulary, QuickBpe, lambda bpe, ids: np.array(ids, "<u4").tobytes())
         bpe = packed.bpe
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, keep=("bytes", vocabulary)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = b"".join(map(packed.__getitem__, bpe.parts(text or ""))) + end

@@ -23,8 +23,17 @@ _MULTIPLIERS = np.array(
 )
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: a Python worker goes from task to task, and what one has used the next may not need."""
+#: What operators remember in this process from task to task, by key.
+MEMORIES: dict[tuple, dict] = {}
+
+
+def give_back(keep: tuple | None = None) -> None:
+    """Returns freed memory to the system: a Python worker goes from task to task, and what one has used the next may not need.
+
+    Of the ``MEMORIES`` only the one with the key ``keep`` stays.
+    """
+    for key in [k for k in MEMORIES if k != keep]:
+        del MEMORIES[key]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -32,9 +41,9 @@ def give_back() -> None:
         pass
 
 
-def slices(batches, rows: int = 500):
+def slices(batches, rows: int = 500, keep: tuple | None = None):
     """Record batches of at most so many rows, so that what a function makes of one at a time stays small."""
-    give_back()
+    give_back(keep)
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
