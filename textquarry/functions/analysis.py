@@ -41,7 +41,7 @@ STOP_WORDS = tuple(
 
 def html_body(text: Column) -> Column:
     """Character filter: the searchable text of a page."""
-    return page_text(text)["body"]
+    return page_text(text, "body")["body"]
 
 
 def whitespace_tokens(text: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import DENIED, outgoing_links, page_text
+from ..functions.html import DENIED, page_parts
 from ..sources.scratch import Scratch
 
 MAX_BYTES = 15 * 1024 * 1024
@@ -20,8 +20,8 @@ BACK_OFF_MS = 2_000
 
 def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` with title (first title element) and outgoing_links (sorted)."""
-    rows = pages.withColumn("__page", page_text(F.col(html)))
-    rows = rows.withColumns({"title": F.col("__page.first_title"), "outgoing_links": outgoing_links(F.col(url), F.col("__page.hrefs"))})
+    rows = pages.withColumn("__page", page_parts(F.col(url), F.col(html), "first_title", "outgoing_links"))
+    rows = rows.withColumns({"title": F.col("__page.first_title"), "outgoing_links": F.coalesce("__page.outgoing_links", F.array().cast("array<string>"))})
     return rows.drop("__page")
 
 
