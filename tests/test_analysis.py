@@ -1,8 +1,13 @@
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textquarry.functions import analysis
+from textquarry.functions.analysis import UNSTEMMED, drop_numeric, drop_stop_words, lowercase, strip_punctuation, whitespace_tokens
 from textquarry.functions.html import outgoing_links, page_text, read_page
 from textquarry.functions.porter import stem, stem_terms
+from textquarry.operators import index
 
 
 def run(spark, stage, tokens):
@@ -72,3 +77,30 @@ def test_default_pipeline(spark):
     page = "<html><body><h1>Harbour</h1><p>The boats: sailing 12 34 567 were <b>(relational)</b> to hopping. Adjustable</p></body></html>"
     assert analysis.DEFAULT.terms(spark, page) == ["boat", "sail", "relat", "hop", "adjust"]
     assert analysis.DEFAULT.terms(spark, "<h1>x</h1>") == []
+
+
+def test_stages_at_once_equal_the_stages_in_a_row(spark):
+    """Signs of many kinds alone, inside words and at their ends; some change their length in lower case."""
+    r = random.Random(5)
+    signs = list("ab1 .-_'\t\n\x0b\x1c\x85\xa0\u2003\u3000éßİΣσА٣½Ⅷⓐ\u0301\u200b😀𐐀中ªʰ%K") + ["the ", "ΟΔΟΣ. ", "I'll "]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["!" * 3000, "a" + "!" * 3000, "", None]
+    texts += [f"a{chr(c)}b {chr(c)} {chr(c)}x x{chr(c)}" for c in range(0x3000)]
+
+    def in_a_row(text):
+        terms = whitespace_tokens(text)
+        for stage in (strip_punctuation, lowercase, drop_numeric, drop_stop_words()):
+            terms = stage(terms)
+        return terms
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", in_a_row(F.col("t")).alias("want"), UNSTEMMED.analyze(F.col("t")).alias("got"))
+    assert rows.where("not (want <=> got)").count() == 0 and rows.where("size(got) > 3").count() > 1000
+
+
+def test_terms_are_grouped_in_slices(spark, monkeypatch):
+    r = random.Random(6)
+    lists = [None, [], *([r.choice("abcdé") for _ in range(r.randint(0, 12))] for _ in range(200)), ["z"] * 50, []]
+    for most in (1, 7, 40, 250_000):
+        monkeypatch.setattr(index, "SORTED", most)
+        got = index._grouped.func(pa.array(lists, pa.list_(pa.string()))).to_pylist()
+        want = [{t: [i for i, x in enumerate(w or []) if x == t] for t in w or []} for w in lists]
+        assert [{g["term"]: g["positions"] for g in row} for row in got] == want and all(len(row) == len(w) for row, w in zip(got, want))

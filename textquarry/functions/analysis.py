@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,26 @@ def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
 
 
+#: A run of other than white space, from its first letter or number to its last; one sign alone has a single byte if it is ASCII.
+_ALNUM = r"[\p{IsAlphabetic}\p{N}]"
+_CORE = rf"(?U){_ALNUM}\S*{_ALNUM}|(?![A-Za-z0-9]){_ALNUM}"
+
+
+def bare_tokens(text: Column) -> Column:
+    """``strip_punctuation`` of ``whitespace_tokens`` in one pass."""
+    return F.regexp_extract_all(text, F.lit(_CORE), F.lit(0))
+
+
+class Keep:
+    """A token filter that looks at each token by itself; those that follow each other are applied at once."""
+
+    def __init__(self, *conditions: Stage):
+        self.conditions = conditions
+
+    def __call__(self, tokens: Column) -> Column:
+        return F.filter(tokens, lambda x: reduce(lambda a, b: a & b, (c(x) for c in self.conditions)))
+
+
 def strip_punctuation(tokens: Column, min_bytes: int = MIN_BYTES) -> Column:
     """Tokens without signs at either end; those under ``min_bytes`` UTF-8 bytes go."""
     ends = f"^{NOT_ALNUM}|{NOT_ALNUM}$"
@@ -59,13 +81,12 @@ def lowercase(tokens: Column) -> Column:
     return F.transform(tokens, F.lower)
 
 
-def drop_numeric(tokens: Column) -> Column:
-    """Keeps tokens with a letter."""
-    return F.filter(tokens, lambda x: x.rlike(r"\p{IsAlphabetic}"))
+#: Keeps tokens with a letter.
+drop_numeric = Keep(lambda x: x.rlike(r"\p{IsAlphabetic}"))
 
 
 def drop_stop_words(words: Sequence[str] = STOP_WORDS) -> Stage:
-    return lambda tokens: F.filter(tokens, lambda x: ~x.isin(*words))
+    return Keep(lambda x: ~x.isin(*words))
 
 
 def compress_whitespace(text: Column) -> Column:
@@ -86,9 +107,14 @@ class Analyzer:
         """Array of terms; a term's position is its place in the array."""
         for stage in self.char_filters:
             text = stage(text)
-        terms = self.tokenizer(text)
-        for stage in self.token_filters:
-            terms = stage(terms)
+        filters = self.token_filters
+        if self.tokenizer is whitespace_tokens and filters[:1] == (strip_punctuation,):
+            terms, filters = bare_tokens(text), filters[1:]
+        else:
+            terms = self.tokenizer(text)
+        for alike, stages in groupby(filters, lambda s: isinstance(s, Keep)):
+            for stage in [Keep(*(c for s in stages for c in s.conditions))] if alike else stages:
+                terms = stage(terms)
         return terms
 
     def terms(self, spark, text: str) -> list[str]:

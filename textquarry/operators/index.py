@@ -8,10 +8,13 @@ that only grow; a merge is a union and one aggregation.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.analysis import DEFAULT, Analyzer, tokens
+from ..functions.analysis import DEFAULT, Analyzer
 from ..sources.scratch import Scratch
 
 #: Document ids in a bucket.
@@ -25,34 +28,50 @@ SAMPLE, OFFSET_LIMIT = 10_000, 500_000
 def postings(docs: DataFrame, doc_id: str, text: str, analyzer: Analyzer = DEFAULT, unique: bool = False) -> DataFrame:
     """term, doc_id, positions (ascending), tf for every row of ``docs``.
 
-    Where ids are ``unique`` to their rows, a row's terms are grouped inside
-    the row and nothing is shuffled.
+    A row's terms are grouped inside the row. Where ids are ``unique`` to their
+    rows nothing is shuffled; else the rows of an id are merged.
     """
-    if not unique:
-        return invert(tokens(docs, doc_id, text, analyzer))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(grouped(analyzer.analyze(F.col(text)))).alias("g"))
-    return rows.select("g.term", "doc_id", "g.positions", F.size("g.positions").cast("long").alias("tf"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(grouped(analyzer.analyze(F.col(text)))).alias("g"))
+    rows = rows.where("g.term is not null").select("g.term", "doc_id", "g.positions", F.size("g.positions").cast("long").alias("tf"))
+    return rows if unique else merge(rows)
+
+
+GROUPS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+_GROUP = pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))])
+#: Terms that are sorted at once.
+SORTED = 250_000
+
+
+def _group(lists: pa.Array) -> pa.Array:
+    """Arrays of (term, positions) for arrays of terms, none of them null: one stable sort by row and term."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    codes, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = np.repeat(np.arange(len(sizes)), sizes) * max(known, 1) + codes
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(pos[order], pa.int32()))
+    terms = words.dictionary.take(pa.array(key[first] % max(known, 1))).cast(pa.string())
+    ends = np.cumsum(np.bincount(key[first] // max(known, 1), minlength=len(sizes)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.StructArray.from_arrays([terms, positions], fields=list(_GROUP)))
+
+
+@F.arrow_udf(GROUPS)
+def _grouped(lists: pa.Array) -> pa.Array:
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    out, at = [pa.array([], pa.list_(_GROUP))], 0
+    while at < len(lists):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORTED, side="right")))
+        out.append(_group(lists.slice(at, upto - at)))
+        at = upto
+    return pa.concat_arrays(out)
 
 
 def grouped(terms: Column) -> Column:
-    """Array of (term, positions) of an array of terms: sorted once, then cut where the term changes."""
-    pairs = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-
-    def cut(s: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(s) - 1)
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-
-        def groups(b: Column) -> Column:
-            def group(start: Column, k: Column) -> Column:
-                end = F.coalesce(F.get(b, k + 1), F.size(s))
-                return F.struct(F.get(s, start)["term"].alias("term"), F.transform(F.slice(s, start + 1, end - start), lambda x: x["pos"]).alias("positions"))
-
-            return F.transform(b, group)
-
-        return F.flatten(F.transform(F.array(starts), groups))
-
-    # a lambda's argument is computed once for a row
-    return F.flatten(F.transform(F.filter(F.array(pairs), lambda s: F.size(s) > 0), cut))
+    """Array of (term, positions) of an array of terms."""
+    return _grouped(terms)
 
 
 def invert(rows: DataFrame) -> DataFrame:
@@ -66,7 +85,8 @@ def merge(*segments: DataFrame) -> DataFrame:
     rows = segments[0].select("term", "doc_id", "positions")
     for s in segments[1:]:
         rows = rows.unionByName(s.select("term", "doc_id", "positions"))
-    grouped = rows.groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    # dealt out first: to gather positions before that would sort every task's rows, and few of them meet there
+    grouped = rows.repartition("term", "doc_id").groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return grouped.withColumn("tf", F.size("positions").cast("long"))
 
 
@@ -115,11 +135,16 @@ def assign_buckets(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def buckets(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """term, bucket, document_frequency (of the bucket), postings (ids, ascending), positions (id -> positions).
+    """term, bucket, document_frequency (of the bucket), postings (ids, ascending), positions (id -> positions, if ``index`` has them).
 
     A bucket gathers at most ``capacity`` documents into a row.
     """
-    rows = assign_buckets(index, capacity).groupBy("term", "bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("rows"))
+    rows = assign_buckets(index, capacity)
+    if "positions" not in index.columns:
+        # the rows of a term are in one task, or a hot term's in a few; what is gathered is an id for each row
+        rows = rows.groupBy("term", "bucket").agg(F.array_sort(F.collect_list("doc_id")).alias("postings"))
+        return rows.select("term", "bucket", F.size("postings").cast("long").alias("document_frequency"), "postings")
+    rows = rows.groupBy("term", "bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("rows"))
     return rows.select(
         "term", "bucket", F.size("rows").cast("long").alias("document_frequency"),
         F.transform("rows", lambda r: r["doc_id"]).alias("postings"),
@@ -140,12 +165,14 @@ def last_bucket(sizes: DataFrame) -> DataFrame:
 def append(existing: DataFrame, new: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``existing`` (with buckets) and the rows of ``new`` that it lacks, which go on filling each term's last bucket.
 
+    Both may be without positions and tf; then the result is too.
     Rows of documents that are in the index already belong to ``replace``.
     """
-    fresh = _numbered(new.select("term", "doc_id", "positions", "tf"))
+    columns = [c for c in ("term", "doc_id", "positions", "tf") if c in existing.columns and c in new.columns]
+    fresh = _numbered(new.select(*columns))
     last = last_bucket(bucket_sizes(existing)).select("term", (F.col("bucket") * capacity + F.col("document_frequency")).alias("__start"))
     fresh = fresh.join(last, "term", "left").withColumn("bucket", F.floor((F.coalesce("__start", F.lit(0)) + F.col("__n")) / capacity).cast("int"))
-    return existing.select("term", "doc_id", "positions", "tf", "bucket").unionByName(fresh.select("term", "doc_id", "positions", "tf", "bucket"))
+    return existing.select(*columns, "bucket").unionByName(fresh.select(*columns, "bucket"))
 
 
 def replace(existing: DataFrame, new: DataFrame, ids: DataFrame | None = None) -> DataFrame:

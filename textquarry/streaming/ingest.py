@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.analysis import DEFAULT, Analyzer
-from ..operators.index import postings
+from ..operators.index import GROUPS, grouped, merge
+from ..sources.store import few
 
 
 def page_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -37,21 +38,34 @@ def index_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(doc_id, text), doc_id).alias("r")).select("r.*")
-        rows = postings(newest, doc_id, text, analyzer)
-        none = {"term": "string", "positions": "array<int>", "tf": "long"}
-        seen = newest.select(F.col(doc_id).alias("doc_id"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-        rows = rows.unionByName(seen).withColumn("version", F.lit(number).cast("long"))
+        # dealt out first, so that texts are sorted in many small tasks, not in those that read the files
+        newest = batch.select(doc_id, text, key).repartition(key).groupBy(key).agg(F.max_by(F.struct(doc_id, text), doc_id).alias("r")).select("r.*")
+        groups = F.coalesce(grouped(analyzer.analyze(F.col(text))), F.array().cast(GROUPS))
+        none = F.array(F.lit(None).cast(GROUPS.elementType))
+        rows = newest.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(groups, none)).alias("g"))
+        rows = rows.select("g.term", "doc_id", "g.positions")
+        # where ids are the key, no two rows have the same one
+        rows = rows.withColumn("tf", F.when(F.col("term").isNotNull(), F.size("positions").cast("long"))) if key == doc_id else _merged(rows)
+        rows = rows.withColumn("version", F.lit(number).cast("long"))
         rows.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{segments}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Equal (term, doc_id) rows as one; a row without a term has no positions."""
+    rows = merge(rows)
+    return rows.withColumns({c: F.when(F.col("term").isNotNull(), F.col(c)) for c in ("positions", "tf")})
+
+
 def current(segments: DataFrame) -> DataFrame:
     """Postings of all segments in which each document has only the rows of its last version."""
-    last = segments.groupBy("doc_id").agg(F.max("version").alias("version"))
-    return segments.where("term is not null").join(last, ["doc_id", "version"], "left_semi").select("term", "doc_id", "positions", "tf")
+    versions = segments.groupBy("doc_id").agg(F.max("version").alias("__last"), F.min("version").alias("__first"))
+    # only documents that came again have rows that don't count; where they are few, nothing else is shuffled
+    again = versions.where(F.col("__last") > F.col("__first")).select("doc_id", "__last")
+    rows = segments.where("term is not null").join(few(again), "doc_id", "left")
+    return rows.where(F.coalesce(F.col("version") == F.col("__last"), F.lit(True))).select("term", "doc_id", "positions", "tf")
 
 
 def compact(spark: SparkSession, segments: str, out: str) -> None:
