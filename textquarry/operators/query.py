@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import DEFAULT, Analyzer
+from ..sources.scratch import Scratch
+from ..sources.store import few
 from .index import lookup
 
 
@@ -114,19 +116,22 @@ def batch(index: DataFrame, slots: DataFrame) -> DataFrame:
     pivot's on the document, a slot counts for a pivot position once, and a
     position for which all slots count is a match.
     """
-    frequency = index.join(slots.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    terms = few(slots.select("term").distinct())
+    rows = index.select("term", "doc_id", "positions").join(terms, "term", "left_semi")
+    frequency = rows.groupBy("term").agg(F.count("*").alias("df"))
     known = slots.join(frequency, "term", "left")
     order = Window.partitionBy("query_id").orderBy(F.col("df").asc_nulls_first(), "slot")
     by_query = Window.partitionBy("query_id")
     known = known.withColumns({"__place": F.row_number().over(order), "n": F.count("*").over(by_query), "missing": F.sum(F.col("df").isNull().cast("int")).over(by_query)})
-    known = known.where("missing = 0")
-    pivots = known.where("__place = 1").select("query_id", F.col("term"), F.col("slot").alias("pivot"), "n")
-    others = known.where("__place > 1").select("query_id", "slot", "term")
-    rows = index.select("term", "doc_id", "positions")
-    hits = pivots.join(rows, "term").select("query_id", "pivot", "n", "doc_id", F.col("positions").alias("at"))
+    scratch = Scratch(index.sparkSession, "batch")
+    known = scratch.keep(known.where("missing = 0").select("query_id", "slot", "term", "n", "__place"))
+    pivots = few(known.where("__place = 1").select("query_id", F.col("term"), F.col("slot").alias("pivot"), "n"))
+    hits = scratch.keep(rows.join(pivots, "term").select("query_id", "pivot", "n", "doc_id", F.col("positions").alias("at")))
     single = hits.where("n = 1").select("query_id", "doc_id")
-    more = others.join(rows, "term").select("query_id", "slot", "doc_id", "positions")
-    met = hits.where("n > 1").join(more, ["query_id", "doc_id"])
+    # a slot's postings are looked up in the documents of the query's rarest term only
+    others = few(known.where("__place > 1").select("query_id", "slot", "term"))
+    wanted = hits.where("n > 1").select("query_id", "doc_id").join(others, "query_id").select("query_id", "slot", "term", "doc_id")
+    met = rows.join(few(wanted), ["term", "doc_id"]).select("query_id", "slot", "doc_id", "positions").join(hits, ["query_id", "doc_id"])
     close = F.filter("at", lambda p: F.exists("positions", lambda x: F.abs(x - p).between(1, F.abs(F.col("slot") - F.col("pivot")))))
     met = met.select("query_id", "doc_id", "n", "slot", F.explode(close).alias("p"))
     full = met.groupBy("query_id", "doc_id", "p", "n").agg(F.count("*").alias("c")).where("c = n - 1")
