@@ -74,3 +74,17 @@ def test_a_batch_looks_slots_up_in_the_documents_of_its_rarest_terms(spark):
     got = query.batch(rows, slots)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 3), (2, 3)]
     assert not re.search(r"SortMergeJoin \[term", plan(got))
+
+
+def test_a_written_merge_is_dealt_out_once(spark, tmp_path, monkeypatch):
+    """The merge and the layer that it is written as share one shuffle; equal rows of one or several tables become one."""
+    from pyspark.sql import DataFrameWriter
+
+    a = spark.createDataFrame([("a", 1, [5, 1], 2), ("b", 1, [0], 1), ("a", 1, [3], 1)], SCHEMA)
+    b = spark.createDataFrame([("a", 1, [4], 1), ("a", 2, [7], 1)], SCHEMA)
+    plans_, partition_by = [], DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: (plans_.append(plan(self._df)), partition_by(self, *c))[1])
+    index.write_merged([a, b], f"{tmp_path}/layer", parts=2)
+    got = {(r["term"], r["doc_id"]): (r["positions"], r["tf"]) for r in spark.read.parquet(f"{tmp_path}/layer").collect()}
+    assert got == {("a", 1): ([1, 3, 4, 5], 4), ("b", 1): ([0], 1), ("a", 2): ([7], 1)}
+    assert len(plans_) == 1 and plans_[0].count("Exchange") == 1

@@ -8,6 +8,9 @@ that only grow; a merge is a union and one aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -76,17 +79,19 @@ def grouped(terms: Column) -> Column:
 
 def invert(rows: DataFrame) -> DataFrame:
     """Groups token rows (doc_id, pos, term); a group is one document's uses of one term."""
-    grouped = rows.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    grouped = rows.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return grouped.withColumn("tf", F.size("positions").cast("long"))
 
 
+def _union(segments: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [s.select("term", "doc_id", "positions") for s in segments])
+
+
 def merge(*segments: DataFrame) -> DataFrame:
     """One postings table from several: equal (term, doc_id) rows join their positions, sorted."""
-    rows = segments[0].select("term", "doc_id", "positions")
-    for s in segments[1:]:
-        rows = rows.unionByName(s.select("term", "doc_id", "positions"))
+    rows = _union(segments)
     # dealt out first: to gather positions before that would sort every task's rows, and few of them meet there
-    grouped = rows.repartition("term", "doc_id").groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    grouped = rows.repartition("term", "doc_id").groupBy("term", "doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return grouped.withColumn("tf", F.size("positions").cast("long"))
 
 
@@ -142,9 +147,9 @@ def buckets(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = assign_buckets(index, capacity)
     if "positions" not in index.columns:
         # the rows of a term are in one task, or a hot term's in a few; what is gathered is an id for each row
-        rows = rows.groupBy("term", "bucket").agg(F.array_sort(F.collect_list("doc_id")).alias("postings"))
+        rows = rows.groupBy("term", "bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("postings"))
         return rows.select("term", "bucket", F.size("postings").cast("long").alias("document_frequency"), "postings")
-    rows = rows.groupBy("term", "bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("rows"))
+    rows = rows.groupBy("term", "bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "positions"))).alias("rows"))
     return rows.select(
         "term", "bucket", F.size("rows").cast("long").alias("document_frequency"),
         F.transform("rows", lambda r: r["doc_id"]).alias("postings"),
@@ -199,6 +204,19 @@ def write(index: DataFrame, path: str, parts: int = 256, mode: str = "overwrite"
     rows.write.mode(mode).partitionBy("term_part").parquet(path)
 
 
+def write_merged(segments: Sequence[DataFrame], path: str, parts: int = 256, mode: str = "overwrite") -> None:
+    """``write`` of ``merge``: equal rows meet where they are written, so the rows are dealt out and sorted once."""
+    keys = ("term_part", "__deal", "term", "doc_id")
+    deal = {"term_part": F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"), "__deal": F.pmod(F.xxhash64("doc_id"), F.lit(4))}
+    equal = Window.partitionBy(*keys).orderBy("doc_id")
+    found = F.collect_list("positions").over(equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = _union(segments).withColumns(deal).repartition("term_part", "__deal")
+    rows = rows.withColumns({"__all": found, "__n": F.row_number().over(equal)}).where("__n = 1")
+    rows = rows.select("term", "doc_id", F.sort_array(F.flatten("__all")).alias("positions"), "term_part")
+    rows = rows.select("term", "doc_id", "positions", F.size("positions").cast("long").alias("tf"), "term_part")
+    rows.write.mode(mode).partitionBy("term_part").parquet(path)
+
+
 def lookup(index: DataFrame, terms: list[str], parts: int = 256) -> DataFrame:
     """Rows of the given terms; prunes by ``term_part`` where the table has it."""
     found = index.where(F.col("term").isin(*terms)) if terms else index.where("false")

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import CAPACITY, assign_buckets, lookup, merge, write
+from ..operators.index import CAPACITY, assign_buckets, lookup, write, write_merged
 from .store import POSTINGS, Checkpoints, Pages, Table, Versions, few
 
 LAYER = "term string, doc_id string, positions array<int>, tf long, term_part int"
@@ -94,13 +94,13 @@ class Segments:
         rows = self._read(folders)
         if len(folders) < 2:
             return rows
-        grouped = rows.groupBy("term", "doc_id", "term_part").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        grouped = rows.groupBy("term", "doc_id", "term_part").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
         return grouped.select("term", "doc_id", "positions", F.size("positions").cast("long").alias("tf"), "term_part")
 
-    def _write(self, rows: DataFrame, parts: int, folder: str | None = None, step: int = 0) -> str:
-        """Writes a layer, or a step of one."""
+    def _write(self, rows: DataFrame | list[DataFrame], parts: int, folder: str | None = None, step: int = 0) -> str:
+        """Writes a layer, or a step of one; of several tables their merge."""
         folder = folder or f"v-{uuid.uuid4().hex}"
-        write(rows, f"{self.base}/postings/{folder}/step={step}", parts)
+        (write_merged if isinstance(rows, list) else write)(rows, f"{self.base}/postings/{folder}/step={step}", parts)
         return folder
 
     def _joining(self, rows: int, layers: dict) -> tuple[list[str], dict[str, int]]:
@@ -146,7 +146,7 @@ class Segments:
             low, high = edges[step], edges[step + 1]
             inside = F.lit(True) if low is None else F.col("term") > low
             inside = inside if high is None else inside & (F.col("term") <= high)
-            self._write(merge(*[r.where(inside) for r in rows]), parts, plan["layer"], step)
+            self._write([r.where(inside) for r in rows], parts, plan["layer"], step)
             self.staged.commit(plan, [], **{k: v for k, v in plan.items() if k not in ("number", "folders", "done")}, done=step + 1)
             plan = self.staged.read()
             if high is not None:
@@ -213,7 +213,7 @@ class Segments:
         new = [fresh]
         if touched or taken:
             old = self._read([*touched, *taken]).join(ids, "doc_id", "left_anti")
-            new = [self._write(merge(old, self._read([fresh])), parts)]
+            new = [self._write([old, self._read([fresh])], parts)]
         self._commit(layers, stay, new, layers.get("merged", []), parts)
         if new != [fresh]:
             path, fs = self.layers._at(fresh)
